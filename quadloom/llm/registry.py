@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from quadloom.llm import bpe
+from quadloom.llm import bpe, mixing, secrets
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.query,
+    "op6_secret_ownership": secrets.query,
+    "op8_source_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_secret_ownership": secrets.SQL,
+    "op8_source_mixing": mixing.SQL,
+}
