@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quadloom.llm import bpe, mixing, secrets
+from quadloom.llm import bpe, licenses, mixing, secrets
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.query,
+    "op4_license_containment": licenses.query,
     "op6_secret_ownership": secrets.query,
     "op8_source_mixing": mixing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_containment": licenses.SQL,
     "op6_secret_ownership": secrets.SQL,
     "op8_source_mixing": mixing.SQL,
 }
