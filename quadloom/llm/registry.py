@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quadloom.llm import bpe, licenses, mixing, secrets
+from quadloom.llm import bpe, licenses, minhash, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.query,
     "op4_license_containment": licenses.query,
+    "op5_minhash_groups": minhash.query,
     "op6_secret_ownership": secrets.query,
     "op8_source_mixing": mixing.query,
+    "op10_toxicity_lexicon": toxicity.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
