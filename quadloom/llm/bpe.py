@@ -223,8 +223,8 @@ def decode(df: DataFrame, token_ids: str = "token_ids", keep: tuple[str, ...] =
     return source.mapInArrow(run, schema).toDF(*keep, "text")
 
 
-def round_trip(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = DEFAULT_VOCABULARY, pattern: str | None = DEFAULT_PATTERN) -> DataFrame:
-    """Encodes every text, decodes the ids again and says whether the text came back: key, token_ids, n_tokens, lossless.
+def round_trip(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = DEFAULT_VOCABULARY, pattern: str | None = DEFAULT_PATTERN) -> DataFrame:
+    """Encodes every text, decodes the ids again and says whether the text came back: keep + (token_ids, n_tokens, lossless).
 
     lossless is null for a null text. Both ways are taken in one pass, so that texts cross to Python once.
     """
@@ -239,11 +239,12 @@ def round_trip(df: DataFrame, text: str = "text", key: str = "doc_id", vocabular
                 ids, bounds = codec.encode_rows(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 same = pa.compute.equal(_text(codec, ids, bounds), column.slice(i, j - i).cast(pa.string()))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pa.array(missing[i:j])) if missing[i:j].any() else list_array(ids, bounds, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), lists, pa.array(np.diff(bounds).astype(np.int32), mask=missing[i:j]), same], names=["key", "token_ids", "n_tokens", "lossless"])
+                kept = (batch.column(k).slice(i, j - i) for k in range(len(keep)))
+                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(np.diff(bounds).astype(np.int32), mask=missing[i:j]), same], names=schema.names)
 
-    source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([source.schema["key"], T.StructField("token_ids", T.ArrayType(T.IntegerType(), True)), T.StructField("n_tokens", T.IntegerType()), T.StructField("lossless", T.BooleanType())])
-    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+    source = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).cast("string").alias("text"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("token_ids", T.ArrayType(T.IntegerType(), True)), T.StructField("n_tokens", T.IntegerType()), T.StructField("lossless", T.BooleanType())])
+    return source.mapInArrow(run, schema).toDF(*keep, "token_ids", "n_tokens", "lossless")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
