@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quadloom.llm import bpe, embeddings, licenses, minhash, mixing, quality, secrets, topk, toxicity
+from quadloom.llm import bpe, embeddings, licenses, minhash, mixing, quality, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.query,
     "op2_embedding_near_dedup": embeddings.query,
+    "op3_warc_normaliser": warc.query,
     "op4_license_containment": licenses.query,
     "op5_minhash_groups": minhash.query,
     "op6_secret_ownership": secrets.query,
