@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.llm.arrowtext import distinct_in_rows, list_array, mix, span_hash, word_slices
+from quadloom.llm.bloom import Bloom, build
 from quadloom.llm.components import connected_components
 from quadloom.llm.storage import drop_written, written
 
@@ -146,11 +147,17 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "members array<long>").distinct()
 
 
-def _sets(source: DataFrame) -> DataFrame:
-    """doc, shingles of source(doc, text), a row per id."""
+def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, shingles of those rows of source(doc, text) whose doc is in wanted(doc), a row per id.
+
+    A Bloom filter drops most other rows before anything of them is shuffled; the join is exact.
+    """
+    bloom = build(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if bloom is not None:
+                batch = batch.filter(pa.array(bloom.may_hold(batch.column("doc"))))
             for i, j, v, bounds in shingle_sets(batch.column("text")):
                 live = np.flatnonzero(np.diff(bounds))
                 if len(live):
@@ -158,7 +165,7 @@ def _sets(source: DataFrame) -> DataFrame:
                     same = [pa.array(h.view(np.int64)) for h in _set_hashes(v, edges)]
                     yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(live + i)), *same, list_array(v.view(np.int32), edges, pa.int32())], names=["doc", "same_a", "same_b", "shingles"])
 
-    each = source.mapInArrow(run, "doc long, same_a long, same_b long, shingles array<int>")
+    each = source.mapInArrow(run, "doc long, same_a long, same_b long, shingles array<int>").join(wanted, "doc", "left_semi")
     return each.groupBy("doc").agg(F.min(F.struct("same_a", "same_b", "shingles")).alias("s")).select("doc", "s.shingles")
 
 
@@ -204,8 +211,8 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: fl
     buckets = written(_buckets(_table_keys(reps)), "buckets")
     starred = buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("b")).distinct()
     pairs = written(starred, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = written(_sets(source.join(wanted, "doc", "left_semi")), "sets")
+    wanted = written(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "wanted")
+    sets = written(_sets(source, wanted), "sets")
     edges = written(_verified(pairs, sets, threshold).select("a", "b"), "edges")
     roots = connected_components(edges)
     more = _verified(_crossing(buckets, roots), sets, threshold).select("a", "b")
@@ -213,18 +220,39 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: fl
     if not more.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more))
     roots = written(roots, "roots")
-    drop_written(signed, buckets, pairs, sets, edges, more)
+    drop_written(signed, buckets, pairs, wanted, sets, edges, more)
     grouped = owned.join(roots, owned["rep"] == roots["node"], "left").select("doc", F.coalesce("root", "rep").alias("group_id"))
     every = df.select(F.col(key).alias("_k")).where("_k is not null").distinct()
     return every.join(grouped, every["_k"].cast("long") == grouped["doc"], "left").select(F.col("_k").alias(key), F.coalesce("group_id", F.col("_k").cast("long")).alias("group_id"))
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """df with one row of each group: one of the smallest id. Rows with a null id stay."""
-    dropped = groups(df, text, key, threshold).where(F.col(key).cast("long") != F.col("group_id")).select(F.col(key).alias("_k"))
-    kept = df.join(dropped, df[key] == dropped["_k"], "left_anti")
-    named = kept.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))).where("_n = 1").drop("_n")
-    return named.unionByName(kept.where(F.col(key).isNull()))
+    """df with one row of each group: one of the smallest id. Rows with a null id stay.
+
+    Only rows whose id may be dropped or repeated, by a Bloom filter, are joined and sorted.
+    """
+    found = written(groups(df, text, key, threshold), "groups")
+    dropped = found.where(F.col(key).cast("long") != F.col("group_id")).select(F.col(key).cast("long").alias("_k"))
+    repeated = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_k")).count().where("count > 1").select("_k")
+    special = written(dropped.withColumn("_gone", F.lit(True)).unionByName(repeated.withColumn("_gone", F.lit(False))), "special")
+    bloom = build(special.select("_k"))
+    at = df.columns.index(key)
+    settled, open_ = _split(df, at, bloom, False), _split(df, at, bloom, True)
+    gone = special.where("_gone").select("_k").distinct()
+    kept = open_.join(gone, open_[key].cast("long") == gone["_k"], "left_anti")
+    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))).where(f"_n = 1 or `{key}` is null").drop("_n")
+    return settled.unionByName(kept)
+
+
+def _split(df: DataFrame, at: int, bloom: Bloom | None, held: bool) -> DataFrame:
+    """The rows of df whose id, in column ``at``, the filter may hold, or the others; without a filter it may hold all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = np.ones(batch.num_rows, bool) if bloom is None else bloom.may_hold(batch.column(at).cast(pa.int64()))
+            yield batch.filter(pa.array(may == held))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

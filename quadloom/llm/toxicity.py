@@ -1,14 +1,15 @@
 """Toxicity by lexicon induction on a word graph.
 
-1. Every distinct word of every document is counted: documents that hold it, and documents of a
-   bounded sample of labelled rows that hold it, by label. Words that at least ``least_share`` of all
-   documents hold form the vocabulary, whose size the share bounds however large the corpus.
-2. Seeds are labelled terms: words whose share of toxic documents is high with confidence (lower
-   Wilson bound); the opposite seeds are the words most common in clean documents and never in toxic.
+1. The documents that hold each word are counted. Words that at least ``least_share`` of all documents
+   hold form the vocabulary, whose size the share bounds however large the corpus.
+2. Seeds are labelled terms: words that in a bounded sample of labelled documents stand for toxic ones
+   with confidence (lower Wilson bound, near-copies counted once); the opposite seeds are the words that
+   most surely stand for clean ones.
 3. The word graph joins words by positive pointwise mutual information of occurring in one document.
-   It spans the seeds and every word that goes with one of them more than chance and noise explain.
-4. Random walks with restart from either set of seeds over the graph give each word two visit rates;
-   their normalised difference is its polarity, and polarity times significance its weight.
+   It spans the seeds and every word that goes with them more than chance and noise explain, unless the
+   labelled documents show it to be no more toxic than documents are at large.
+4. Random walks over the graph between a word and the seeds of either kind give its polarity, from -1
+   to 1; polarity times the confidence that labelled documents give the word is its weight.
 5. A document scores the sum of the weights of its distinct lexicon words. The threshold is the one
    that does best (F1) on the labelled sample.
 
@@ -32,14 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm.arrowtext import span_hash, word_slices
+from quadloom.llm.minhash import signatures
 from quadloom.llm.storage import written
 
 LABELLED = 50_000
 LEAST_SHARE = 0.001
 LEAST_DOCUMENTS = 3
-SEED_BOUND = 0.8
-WALK = 0.85
+SEED_BOUND = 0.6
 STEPS = 50
+LEAST_WEIGHT = 0.05
 
 
 def labelled_sample(labels: DataFrame, label: str, key: str = "doc_id", most: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
@@ -83,32 +85,82 @@ def _word_sets(column: pa.Array, vocabulary: np.ndarray | None = None) -> Iterat
             yield i, j, row[new], h[new]
 
 
-def word_counts(source: DataFrame, ids: np.ndarray, y: np.ndarray) -> DataFrame:
-    """word (hash), n, n_toxic, n_clean over all rows of source(key, text)."""
+def word_counts(source: DataFrame) -> DataFrame:
+    """word (hash), n: documents of source(key, text) that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, waiting, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
         for batch in batches:
-            label = label_of(batch.column("key"), ids, y)
-            hashes, kinds = [], []
-            for i, j, row, h in _word_sets(batch.column("text")):
-                hashes.append(h)
-                kinds.append(label[i:j][row].astype(np.int8))
-            if not hashes:
-                continue
-            h, kind = np.concatenate(hashes), np.concatenate(kinds)
-            order = np.argsort(h)
-            h, kind = h[order], kind[order]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            if not len(at):
-                continue
-            n = np.diff(np.append(at, len(h)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at].view(np.int64)), pa.array(n.astype(np.int32)), pa.array(np.add.reduceat(kind == 1, at, dtype=np.int32)), pa.array(np.add.reduceat(kind == 0, at, dtype=np.int32))],
-                names=["word", "n", "n_toxic", "n_clean"],
-            )
+            for _, _, _, h in _word_sets(batch.column("text")):
+                waiting.append(h)
+                held += len(h)
+                if held > (1 << 21):
+                    words, counts = _added(words, counts, waiting)
+                    waiting, held = [], 0
+                    if len(words) > (1 << 21):
+                        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+                        words, counts = words[:0], counts[:0]
+        words, counts = _added(words, counts, waiting)
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
+    return source.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def labelled_texts(source: DataFrame, ids: np.ndarray, y: np.ndarray) -> DataFrame:
+    """text, y of the labelled sample's documents; the sample is bounded, so it can be broadcast."""
+    sample = source.sparkSession.createDataFrame(pa.table({"key": pa.array(ids, pa.int64()), "y": pa.array(y, pa.int32())}))
+    return source.join(F.broadcast(sample), "key").select("text", "y")
+
+
+def independent(source: DataFrame, ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled sample with one of each set of near-copies, the one of the smallest id.
+
+    A document that was copied and labelled many times says no more about its words than once. Copies are
+    those that share a MinHash table key; the sample's bound keeps this small enough for the driver.
+    """
+    labelled = source.join(F.broadcast(source.sparkSession.createDataFrame(pa.table({"key": pa.array(ids, pa.int64())}))), "key")
+    got = signatures(labelled.select(F.col("key").alias("doc"), "text")).groupBy("doc").agg(F.min("keys").alias("keys")).orderBy("doc").toArrow()
+    doc = got["doc"].to_numpy()
+    if not len(doc):
+        return ids[:0], y[:0]
+    keys = np.asarray(got["keys"].combine_chunks().flatten()).view(np.uint64).reshape(len(doc), -1)
+    half = keys.shape[1] // 2
+    group = np.arange(len(doc))
+    while True:
+        before = group.copy()
+        for i in range(half):
+            for j in range(half, 2 * half):
+                order = np.lexsort((group, keys[:, j], keys[:, i]))
+                new = np.ones(len(doc), dtype=bool)
+                same = (keys[order[1:], i] == keys[order[:-1], i]) & (keys[order[1:], j] == keys[order[:-1], j])
+                new[1:] = ~same
+                if same.any():
+                    least = group[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+                    np.minimum.at(group, group[order], least)
+                    group = group[group]
+        if (group == before).all():
+            break
+    kept = doc[group == np.arange(len(doc))]
+    return kept, y[np.searchsorted(ids, kept)]
+
+
+def evidence(labelled: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many toxic, and how many clean texts of labelled(text, y) hold each word of the vocabulary."""
+    size = len(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(2 * size, dtype=np.int64)
+        for batch in batches:
+            y = batch.column("y").to_numpy()
+            for i, j, row, word in _word_sets(batch.column("text"), vocabulary):
+                n += np.bincount(word * 2 + (y[i:j][row] == 1), minlength=2 * size)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["side", "n"])
 
-    counts = source.mapInArrow(run, "word long, n int, n_toxic int, n_clean int")
-    return counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "n_clean")))
+    got = labelled.mapInArrow(run, "side long, n long").groupBy("side").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * size)
+    out[got["side"].to_numpy()] = got["n"].to_numpy()
+    return out[1::2], out[::2]
 
 
 def wilson(hits: np.ndarray, n: np.ndarray, z: float = 1.96) -> np.ndarray:
@@ -118,84 +170,129 @@ def wilson(hits: np.ndarray, n: np.ndarray, z: float = 1.96) -> np.ndarray:
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def _matrix_counts(source: DataFrame, vocabulary: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Documents that hold both a word of ``left`` (places in the vocabulary; one row each) and each word."""
-    n_left, size = len(left), len(vocabulary)
-    place = np.full(size, -1, dtype=np.int64)
-    place[left] = np.arange(n_left)
+def _with_any(source: DataFrame, vocabulary: np.ndarray, seeds: np.ndarray) -> tuple[int, np.ndarray]:
+    """Documents that hold a seed (places in the vocabulary), and how many of these hold each word."""
+    is_seed = np.zeros(len(vocabulary), dtype=bool)
+    is_seed[seeds] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_left, size), dtype=np.int32)
+        docs, held = 0, np.zeros(len(vocabulary), dtype=np.int64)
         for batch in batches:
             for i, j, row, word in _word_sets(batch.column("text"), vocabulary):
-                live = np.flatnonzero(np.bincount(row[place[word] >= 0], minlength=j - i))
-                where = np.full(j - i, -1, dtype=np.int64)
-                where[live] = np.arange(len(live))
-                inside = where[row] >= 0
-                r, w = where[row[inside]], word[inside]
-                for k in range(0, len(live), 64):
-                    some = (r >= k) & (r < k + 64)
-                    held = np.zeros((min(64, len(live) - k), size), dtype=np.float32)
-                    held[r[some] - k, w[some]] = 1
-                    total += (held[:, left].T @ held).astype(np.int32)
-        a, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((a * size + b).astype(np.int64)), pa.array(total[a, b])], names=["cell", "n"])
-
-    cells = source.select("text").mapInArrow(run, "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n_left * size, dtype=np.int64)
-    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    return out.reshape(n_left, size)
-
-
-def walk(weights: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Visit rates of a random walk that restarts at ``start``; weights: symmetric, not negative."""
-    degree = weights.sum(axis=1)
-    step = weights / np.maximum(degree, 1e-12)[:, None]
-    begin = start / max(start.sum(), 1e-12)
-    p = begin.copy()
+                live = np.zeros(j - i, dtype=bool)
+                live[row[is_seed[word]]] = True
+                docs += int(live.sum())
+                held += np.bincount(word[live[row]], minlength=len(vocabulary))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], docs))], names=["word", "n"])
+
+    got = source.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    word, n = got["word"].to_numpy(), got["n"].to_numpy()
+    held = np.zeros(len(vocabulary), dtype=np.int64)
+    held[word[word >= 0]] = n[word >= 0]
+    return int(n[word < 0].sum()), held
+
+
+def _pair_counts(source: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n), a < b: documents that hold both words, for all pairs that any document does."""
+    size = len(vocabulary)
+
+    def pairs(row: np.ndarray, word: np.ndarray) -> Iterator[np.ndarray]:
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(row)))
+        # Rows of equally many words make one array of pairs.
+        for m in np.unique(count[count > 1]):
+            block = word[first[count == m][:, None] + np.arange(m)[None, :]]
+            x, y = np.triu_indices(m, 1)
+            step = max(1, (1 << 20) // len(x))
+            for k in range(0, len(block), step):
+                yield (block[k : k + step][:, x] * size + block[k : k + step][:, y]).ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, counts, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        for batch in batches:
+            for _, _, row, word in _word_sets(batch.column("text"), vocabulary):
+                for cell in pairs(row, word):
+                    waiting.append(cell)
+                    held += len(cell)
+                    if held > (1 << 21):
+                        cells, counts = _added(cells, counts, waiting)
+                        waiting, held = [], 0
+                        if len(cells) > (1 << 22):
+                            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], names=["cell", "n"])
+                            cells, counts = cells[:0], counts[:0]
+        cells, counts = _added(cells, counts, waiting)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], names=["cell", "n"])
+
+    got = source.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).toArrow()
+    cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(cell)
+    return cell[order] // size, cell[order] % size, n[order]
+
+
+def _added(cells: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not more:
+        return cells, counts
+    new, n = np.unique(np.concatenate(more), return_counts=True)
+    every = np.concatenate([cells, new])
+    both, at = np.unique(every, return_inverse=True)
+    return both, np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+
+
+def walk(a: np.ndarray, b: np.ndarray, weight: np.ndarray, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Polarity of each word: how much likelier a random walk from it over the edges a - b ends at a bad seed than at a good one.
+
+    The graph is undirected, so this is as likely as the walks from the seeds to the word. Seeds are where
+    walks end; their polarity is 1 and -1. A word that no walk leads from to a seed has 0.
+    """
+    size = len(bad)
+    x, y, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
+    step = w / np.maximum(np.bincount(x, weights=w, minlength=size)[x], 1e-12)
+    fixed = bad.astype(float) - good.astype(float)
+    seed = bad | good
+    p = fixed.copy()
     for _ in range(STEPS):
-        p = WALK * (p @ step) + (1 - WALK * p[degree > 0].sum()) * begin if begin.any() else p
+        p = np.where(seed, fixed, np.bincount(x, weights=step * p[y], minlength=size))
     return p
 
 
 def induce(source: DataFrame, ids: np.ndarray, y: np.ndarray, least_share: float = LEAST_SHARE) -> tuple[np.ndarray, np.ndarray]:
     """(sorted word hashes, weights) of the lexicon; source: key, text."""
     empty = np.zeros(0, np.uint64), np.zeros(0)
-    counts = written(word_counts(source, ids, y), "words")
+    if not (y == 1).any():
+        return empty
+    counts = written(word_counts(source), "words")
     n_docs = source.count()
     used = counts.where(F.col("n") >= max(LEAST_DOCUMENTS, least_share * n_docs)).toArrow()
     vocabulary = used["word"].to_numpy().view(np.uint64)
     order = np.argsort(vocabulary)
-    vocabulary = vocabulary[order]
-    n, toxic, clean = (used[c].to_numpy().astype(np.float64)[order] for c in ("n", "n_toxic", "n_clean"))
-    bad = np.flatnonzero(wilson(toxic, toxic + clean) >= SEED_BOUND)
+    vocabulary, n = vocabulary[order], used["n"].to_numpy().astype(np.float64)[order]
+    if not len(vocabulary):
+        return empty
+    toxic, clean = evidence(labelled_texts(source, ids, y), vocabulary)
+    seen = toxic + clean
+    bound = wilson(toxic, seen)
+    bad = np.flatnonzero(bound >= SEED_BOUND)
     if not len(bad):
         return empty
-    ratio = np.where(toxic + clean > 0, wilson(clean, toxic + clean), 0)
-    good = np.lexsort((vocabulary, -n, -ratio))
+    good = np.lexsort((vocabulary, -n, -wilson(clean, seen)))
     good = np.setdiff1d(good[: max(len(bad), 8)], bad)
-    seeds = np.concatenate([bad, good])
-    with_seed = _matrix_counts(source, vocabulary, bad)
-    expected = n[bad][:, None] * n[None, :] / n_docs
-    tied = (with_seed >= LEAST_DOCUMENTS) & ((with_seed - expected) > 5 * np.sqrt(np.maximum(expected, 1))) & (with_seed >= 3 * expected)
-    members = np.unique(np.concatenate([seeds, np.flatnonzero(tied.any(axis=0))]))
-    sub = vocabulary[members]
-    together = _matrix_counts(source, sub, np.arange(len(sub)))
+    seed_docs, with_seed = _with_any(source, vocabulary, bad)
+    expected = n * seed_docs / n_docs
+    tied = (with_seed >= LEAST_DOCUMENTS) & (with_seed - expected > 3 * np.sqrt(np.maximum(expected, 1))) & (with_seed >= 2 * expected)
+    # Words that labelled documents show to be no more toxic than documents are at large can get no weight.
+    suspect = (seen == 0) | (bound > (y == 1).mean())
+    members = np.unique(np.concatenate([bad, good, np.flatnonzero(tied & suspect)]))
+    a, b, together = _pair_counts(source, vocabulary[members])
     m = n[members]
-    ppmi = np.log(np.maximum(together, 1e-12) * n_docs / (m[:, None] * m[None, :]))
-    noise = together < np.maximum(LEAST_DOCUMENTS, m[:, None] * m[None, :] / n_docs + 3 * np.sqrt(m[:, None] * m[None, :] / n_docs))
-    ppmi[(ppmi < 0) | noise] = 0
-    np.fill_diagonal(ppmi, 0)
-    is_bad, is_good = np.isin(members, bad).astype(float), np.isin(members, good).astype(float)
-    visits, base = walk(ppmi, is_bad), walk(ppmi, is_good)
-    level = visits / np.maximum(visits[is_bad > 0].mean(), 1e-12)
-    polarity = (visits - base) / np.maximum(visits + base, 1e-12)
-    # A word that is common in clean labelled documents is no toxic term, whatever it goes with.
-    seen = toxic[members] + clean[members]
-    trust = np.where(is_bad > 0, 1.0, np.where(seen > 0, wilson(toxic[members], seen), 0.0))
-    weight = polarity * np.sqrt(np.minimum(level, 1)) * trust
-    keep = np.flatnonzero(weight > 0.05)
-    return sub[keep], weight[keep]
+    chance = m[a] * m[b] / n_docs
+    ppmi = np.log(together / chance)
+    real = (ppmi > 0) & (together > chance + 3 * np.sqrt(chance))
+    a, b, ppmi = a[real], b[real], ppmi[real]
+    polarity = walk(a, b, ppmi, np.isin(members, bad), np.isin(members, good))
+    weight = np.round(polarity * np.where(seen[members] > 0, bound[members], 0.0), 9)
+    keep = np.flatnonzero(weight > LEAST_WEIGHT)
+    return vocabulary[members][keep], weight[keep]
 
 
 def _scored(source: DataFrame, lexicon: np.ndarray, weights: np.ndarray, columns: list[str], threshold: float | None) -> DataFrame:
@@ -222,15 +319,13 @@ def calibrate(source: DataFrame, ids: np.ndarray, y: np.ndarray, lexicon: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = label_of(batch.column("key"), ids, y)
-            at = np.flatnonzero(label >= 0)
-            part = batch.take(pa.array(at))
-            score = np.zeros(len(at))
-            for i, j, row, word in _word_sets(part.column("text"), lexicon):
+            score = np.zeros(batch.num_rows)
+            for i, j, row, word in _word_sets(batch.column("text"), lexicon):
                 score[i:j] = np.round(np.bincount(row, weights=weights[word], minlength=j - i), 9)
-            yield pa.RecordBatch.from_arrays([pa.array(score), pa.array(label[at].astype(np.int32))], names=["score", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(score), batch.column("y")], names=["score", "y"])
 
-    got = source.mapInArrow(run, "score double, y int").groupBy("score").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("score")).toArrow()
+    scored = labelled_texts(source, ids, y).mapInArrow(run, "score double, y int")
+    got = scored.groupBy("score").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("score")).toArrow()
     score, bad, n = (got[c].to_numpy().astype(np.float64) for c in ("score", "bad", "n"))
     hits, called = np.cumsum(bad), np.cumsum(n)
     f1 = np.where(score > 0, 2 * hits / (called + bad.sum()), -1)
@@ -241,6 +336,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     """(word hashes, weights, threshold)."""
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     ids, y = labelled_sample(labels, label)
+    if len(ids):
+        ids, y = independent(source, ids, y)
     lexicon, weights = induce(source, ids, y, least_share)
     return lexicon, weights, calibrate(source, ids, y, lexicon, weights)
 
