@@ -95,7 +95,8 @@ class Value:
         return whole if self.kind == "int" else F.when((n == F.floor(n)) & (F.abs(n) < 1e15), whole).otherwise(part)
 
 
-NULL = Value("term", F.lit(None).cast("string"))
+def unbound() -> Value:
+    return Value("term", F.lit(None).cast("string"))
 
 
 def parts(nt: str) -> tuple[str, str, str | None, str | None]:
@@ -358,7 +359,7 @@ class Translator:
     # Expressions
     def expr(self, e, env: dict[str, Column]) -> Value:
         if isinstance(e, a.Var):
-            return Value("term", env[e.name]) if e.name in env else NULL
+            return Value("term", env[e.name]) if e.name in env else unbound()
         if isinstance(e, Value):
             return e
         if isinstance(e, a.Term):
@@ -400,7 +401,7 @@ class Translator:
     def call(self, e: a.Call, env) -> Value:  # noqa: C901 - a table of functions
         n = e.name
         args = [self.expr(x, env) for x in e.args]
-        x = args[0] if args else NULL
+        x = args[0] if args else unbound()
         if n in ("=", "!=", "<", ">", "<=", ">="):
             return Value("bool", self.compare(n, args[0], args[1]))
         if n == "||":

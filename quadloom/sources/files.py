@@ -51,9 +51,9 @@ def markdown(spark: SparkSession, path: str, base: str = BASE) -> tuple[DataFram
 
 
 def json_triples(df: DataFrame, text: str, most: int = 100) -> DataFrame:
-    """(key, hasValue, value) of the short string values of each JSON object."""
-    fields = df.select(F.explode(F.from_json(text, "map<string,string>")).alias("subject", "object"))
-    return fields.where((F.length("object") < most) & (F.col("object") != "") & ~F.col("object").rlike(r"^[\[{]")).select("subject", F.lit("hasValue").alias("predicate"), "object")
+    """(key, hasValue, value) of the short string values of each JSON object; numbers, arrays and objects are left out, as is what is no object."""
+    fields = df.select(F.explode(F.from_json(text, "map<string,variant>")).alias("subject", "v")).where(F.schema_of_variant("v") == "STRING")
+    return fields.select("subject", F.lit("hasValue").alias("predicate"), F.col("v").cast("string").alias("object")).where((F.length("object") < most) & (F.col("object") != ""))
 
 
 def memory_lines(df: DataFrame, text: str, base: str = BASE) -> DataFrame:
