@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.llm.storage import written
+from quadloom.llm.storage import numbered, written
 
 SEED = 20_240_601
 BLOCK_ROWS = 1 << 14
@@ -55,10 +55,18 @@ def source_rates(df: DataFrame, text: str = "text", source: str = "source", weig
 
 
 def sample(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Mapping[str, float] | None = None, total: float | None = None, carry_text: bool = True) -> DataFrame:
-    """df's rows, each as often as it is drawn, with copy_no from 1; without text where carry_text is false."""
+    """df's rows, each as often as it is drawn, with copy_no from 1; without text where carry_text is false.
+
+    A column copy_no of df gives way to the new one; others may have any name.
+    """
+    df = df.drop("copy_no")
     rates = written(source_rates(df, text, source, weights, total), "rates")
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    names = [c for c in df.columns if carry_text or c != text]
+    columns = [at[c] for c in names]
+    df = numbered(df)
+    text, key, source = at[text], at[key], at[source]
     order = [F.col("_h"), F.col(key), F.col("_t")]
-    columns = [c for c in df.columns if carry_text or c != text]
     rows = df.select(*columns, _hash32(F.lit(str(SEED)), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_h"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_t"))
 
     def placed(x: DataFrame) -> DataFrame:
@@ -74,7 +82,7 @@ def sample(df: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     joined = joined.join(blocks, joined["_source"].eqNullSafe(blocks["_bs"]) & (joined["_block"] == blocks["_bb"]))
     end = F.col("_before") + F.sum("step").over(within) + F.col("offset")
     drawn = joined.withColumn("_end", end).withColumn("_n", F.expr(f"cast(_end div {UNIT} - (_end - step) div {UNIT} as int)")).where("_n > 0")
-    return drawn.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"))
+    return drawn.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no")).toDF(*names, "copy_no")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.storage import written
+from quadloom.llm.storage import numbered, written
 
 #: name, pattern; the first that matches names the kind.
 PATTERNS: tuple[tuple[str, str], ...] = (
@@ -75,12 +75,14 @@ def redact(df: DataFrame, text: str = "text", key: str = "doc_id", placeholder:
     """
     found = scan(df, text, key, **scan_options).where("verdict = 'live'")
     live = found.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), F.col("secret"))), asc=False).alias("_live"))
-    joined = df.join(live, df[key].eqNullSafe(live["_key"]), "left")
-    clean = F.when(F.col("_live").isNull(), F.col(text)).otherwise(F.aggregate("_live", F.col(text).cast("string"), lambda t, s: F.replace(t, s["secret"], F.lit(placeholder))))
-    out = joined.withColumn(text, clean)
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(df.schema["n_chars"].dataType)))
-    return out.select(*df.columns)
+    names, kinds, at = df.columns, df.schema, {c: f"c{i}" for i, c in enumerate(df.columns)}
+    joined = numbered(df).join(live, F.col(at[key]).eqNullSafe(F.col("_key")), "left")
+    body = F.col(at[text])
+    clean = F.when(F.col("_live").isNull(), body).otherwise(F.aggregate("_live", body.cast("string"), lambda t, s: F.replace(t, s["secret"], F.lit(placeholder))))
+    out = joined.withColumn(at[text], clean)
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.when(F.col("_live").isNull(), F.col(at["n_chars"])).otherwise(F.length(at[text]).cast(kinds["n_chars"].dataType)))
+    return out.select(*at.values()).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,6 +36,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., so that none clashes with a column that an operator adds."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
