@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadloom.functions.terms import BASE
 
@@ -128,7 +129,7 @@ def html_lines(html: str | None, width: int = 120) -> str:
     return "\n\n".join(textwrap.fill(x, width) for x in lines if x.strip("# *"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def render_html(s: pd.Series) -> pd.Series:
     return s.map(html_lines)
 
@@ -136,23 +137,23 @@ def render_html(s: pd.Series) -> pd.Series:
 def markdown_triples(df: DataFrame, text: str, uri: Column, base: str = BASE) -> DataFrame:
     """subject, predicate, object of the lines of each document; the first rule that fits a line wins.
 
-    A header gives has_section; a list item under a header gives that section has_list_item; ``key: value`` with
-    both sides gives a property of the section, or of the document before any header. All are plain expressions
-    over a window of each document's lines.
+    A header gives contains_section, with its text; a list item under a header gives that section has_list_item;
+    ``key: value`` with both sides gives a property of the section, or of the document before any header. A header
+    without text ends the section. All are plain expressions over a window of each document's lines.
     """
-    lines = df.select(uri.alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line")).withColumn("line", F.trim(F.regexp_replace("line", "\r$", "")))
-    header = F.when(F.col("line").startswith("#"), F.trim(F.regexp_replace("line", "^#+", "")))
-    lines = lines.withColumn("header", F.when(header != "", header))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = df.select(uri.alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line")).withColumn("line", strip(F.col("line")))
+    lines = lines.withColumn("header", F.when(F.col("line").startswith("#"), strip(F.regexp_replace("line", "^#+", ""))))
     w = Window.partitionBy("doc").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("section", F.last("header", ignorenulls=True).over(w))
-    section = F.concat(F.col("doc"), F.lit("#"), F.replace(F.lower("section"), F.lit(" "), F.lit("-")))
-    item = F.when(F.col("line").rlike(r"^[-*] "), F.trim(F.expr("substring(line, 3)")))
+    section = F.nullif(F.col("section"), F.lit(""))
+    lines = lines.withColumn("section", F.last("header", ignorenulls=True).over(w)).withColumn("section", section)
+    item = F.when(F.col("line").rlike(r"^[-*] "), strip(F.expr("substring(line, 3)")))
     at = F.instr("line", ":")
-    name, value = F.trim(F.expr("substring(line, 1, instr(line, ':') - 1)")), F.trim(F.expr("substring(line, instr(line, ':') + 1)"))
+    name, value = strip(F.expr("substring(line, 1, instr(line, ':') - 1)")), strip(F.expr("substring(line, instr(line, ':') + 1)"))
     rules = [
-        (F.col("header").isNotNull(), F.col("doc"), F.lit(base + "has_section"), F.col("section")),
-        (item.isNotNull() & (item != "") & F.col("section").isNotNull(), section, F.lit(base + "has_list_item"), item),
-        (item.isNull() & ~F.col("line").startswith("#") & (at > 1) & (name != "") & (value != ""), F.coalesce(section, F.col("doc")), F.concat(F.lit(base + "property/"), F.replace(name, F.lit(" "), F.lit("_"))), value),
+        (F.col("header") != "", F.col("doc"), F.lit(base + "contains_section"), F.col("header")),
+        (item.isNotNull() & (item != "") & F.col("section").isNotNull(), F.col("section"), F.lit(base + "has_list_item"), item),
+        (item.isNull() & F.col("header").isNull() & (at > 1) & (name != "") & (value != ""), F.coalesce("section", "doc"), F.concat(F.lit(base + "property/"), F.replace(name, F.lit(" "), F.lit("_"))), value),
     ]
     triple = F.lit(None)
     for test, s, p, o in reversed(rules):

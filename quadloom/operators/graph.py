@@ -46,7 +46,7 @@ def degree_penalty(score: Column, degree: Column, kind: str = "log") -> Column:
 
 
 def bfs(quads: DataFrame, start: DataFrame, depth: int = 1, direction: str = "outgoing", edge_filter: str | None = None, node_type: str | None = None, limit_per_layer: int | None = None, scoring: str = "path", include_start_on_cycle: bool = True) -> DataFrame:
-    """start, node, edge_type, direction, depth, score: nodes reached within ``depth`` hops of each of start (one column), each at its first depth.
+    """start, node, edge_type, direction, depth, score: nodes reached within ``depth`` hops of each of start (of one column), each at its first depth.
 
     Edges must contain ``edge_filter`` in their predicate, nodes must have ``node_type``; what is filtered out is
     not walked through. A layer takes at most ``limit_per_layer`` nodes, by node and predicate. scoring: path is
@@ -59,7 +59,7 @@ def bfs(quads: DataFrame, start: DataFrame, depth: int = 1, direction: str = "ou
         typed = quads.where((F.col("p") == RDF_TYPE) & (F.col("o") == node_type)).select(F.col("s").alias("next")).distinct()
         step = step.where("next_kind = 'iri'").join(typed, "next", "left_semi")
     step = step.select("node", "p", "next", "direction")
-    frontier = start.select(F.col(start.columns[0]).alias("start")).distinct().withColumn("node", F.col("start"))
+    frontier = start.toDF("start").distinct().withColumn("node", F.col("start"))
     visited = frontier.where("false") if include_start_on_cycle else frontier
     layers = None
     for d in range(1, depth + 1):

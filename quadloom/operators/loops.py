@@ -26,7 +26,7 @@ def closure(edges: DataFrame, start: DataFrame | None = None, max_rounds: int |
     start: only from these a (one column). Semi-naive: each round extends only the pairs found by the last.
     """
     edges = durable(edges.select("a", "b").where("a is not null and b is not null").distinct())
-    delta = edges if start is None else edges.join(start.select(F.col(start.columns[0]).alias("a")).distinct(), "a", "left_semi")
+    delta = edges if start is None else edges.join(start.toDF("a").distinct(), "a", "left_semi")
     delta = durable(delta)
     total, rounds = delta, 1
     step = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))

@@ -168,10 +168,16 @@ def profile_triples(df: DataFrame, key: str, profile: DataFrame) -> DataFrame:
     return each.select("subject", predicate.alias("predicate"), "object")
 
 
-def row_context(df: DataFrame, order: str, text: Column) -> DataFrame:
-    """df with the texts of the two rows before and the relative position of each row."""
-    w = Window.orderBy(order)
-    return df.withColumn("_t", text).withColumn("previous_1", F.lag("_t", 1).over(w)).withColumn("previous_2", F.lag("_t", 2).over(w)).withColumn("position", (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy())).drop("_t")
+def row_context(df: DataFrame, order: str, text: Column, by: str) -> DataFrame:
+    """df with the texts of the two rows before and the relative position of each row in its document ``by``."""
+    w = Window.partitionBy(by).orderBy(order)
+    return df.withColumn("_t", text).withColumn("previous_1", F.lag("_t", 1).over(w)).withColumn("previous_2", F.lag("_t", 2).over(w)).withColumn("position", (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy(by))).drop("_t")
+
+
+def keep_last(df: DataFrame, by: str, most: int, *order: str) -> DataFrame:
+    """The last ``most`` rows of each group; audit trails are kept so."""
+    w = Window.partitionBy(by).orderBy(*(F.desc(c) for c in order))
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
 REWARDS = {"valid_triple": 1.0, "invalid_triple": -0.5, "inference_success": 0.8, "user_positive": 2.0, "user_negative": -2.0, "token_usage": -0.01, "error": -0.5}

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSION = 384
 VECTORS = "key string, embedding array<float>, metadata string, uri string"
@@ -143,7 +144,7 @@ def stats(vectors: DataFrame, active: DataFrame) -> DataFrame:
     return marked.agg(F.coalesce(F.sum("live"), F.lit(0)).cast("long").alias("active"), F.count(F.when(F.col("live").isNull(), 1)).alias("stale"), F.count("*").alias("total"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def uuid5(s: pd.Series) -> pd.Series:
     """Deterministic point ids of an external vector store."""
     return s.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_DNS, x)))
