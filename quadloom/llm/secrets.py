@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.storage import numbered, written
 
+#: What stands before the value of an assignment.
+NAMED = r"(?i:password|passwd|secret|token|api_key|apikey)[=:] ?[\"']?"
 #: name, pattern; the first that matches names the kind.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("aws_access_key", r"AKIA[0-9A-Z]{16}"),
@@ -28,11 +30,11 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("json_web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\n]{16,}"),
     ("quoted_hex", r"[\"'][0-9a-f]{40}[\"']"),
-    ("assigned", r"(?i:password|passwd|secret|token|api_key|apikey)[=:] ?[\"']?[^\s\"',;]{8,}"),
+    ("assigned", NAMED + r"[^\s\"',;]{8,}"),
 )
 #: A string that at least so many owners have is a copied example.
 EXAMPLE_OWNERS = 3
-#: A live secret has at least so many different characters.
+#: A live secret has at least so many different characters, the name of what it is assigned to aside.
 LEAST_DISTINCT = 8
 
 ANY = "|".join(p for _, p in PATTERNS)
@@ -52,7 +54,7 @@ def candidates(df: DataFrame, text: str = "text", key: str = "doc_id", owner: Co
 
 def ownership(found: DataFrame, key: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """secret_hash, n_docs, n_repositories, n_owners, verdict."""
-    live = F.size(F.array_distinct(F.split(F.first("secret"), ""))) >= LEAST_DISTINCT
+    live = F.size(F.array_distinct(F.split(F.regexp_replace(F.first("secret"), f"^{NAMED}", ""), ""))) >= LEAST_DISTINCT
     counts = found.groupBy("secret_hash").agg(F.countDistinct(key).alias("n_docs"), F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"), live.alias("varied"))
     verdict = F.when(F.col("n_owners") >= example_owners, "copied_example").when(F.col("varied"), "live").otherwise("placeholder")
     return counts.select("secret_hash", "n_docs", "n_repositories", "n_owners", verdict.alias("verdict"))
@@ -100,7 +102,7 @@ WITH found AS (
 each AS (SELECT doc_id, secret, count(*) AS n_in_doc FROM found GROUP BY doc_id, secret),
 counts AS (
   SELECT secret, count(DISTINCT doc_id) AS n_docs, count(DISTINCT repository) AS n_repositories, count(DISTINCT owner) AS n_owners,
-    len(list_distinct(string_split(secret, ''))) >= {LEAST_DISTINCT} AS varied
+    len(list_distinct(string_split(regexp_replace(secret, '^{q(NAMED)}', ''), ''))) >= {LEAST_DISTINCT} AS varied
   FROM found GROUP BY secret)
 SELECT doc_id, CASE {kinds} END AS kind, sha256(secret) AS secret_hash, n_in_doc, n_docs, n_repositories, n_owners,
   CASE WHEN n_owners >= {EXAMPLE_OWNERS} THEN 'copied_example' WHEN varied THEN 'live' ELSE 'placeholder' END AS verdict
