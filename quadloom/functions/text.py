@@ -15,7 +15,8 @@ from quadloom.functions.terms import BASE
 def chunk_words(text: str | None, size: int = 1000, overlap: int = 150) -> list[str]:
     """Chunks of at most ``size`` UTF-8 bytes, cut at white space, each begun with the last words of the one before that fit ``overlap``.
 
-    White space after a word stays with it; chunks are trimmed; a longer word is a chunk of its own. Null and blank give none.
+    White space after a word stays with it; chunks are trimmed; a longer word is a chunk of its own, and so is a word that
+    does not fit beside the overlap, together with it. Null and blank give none.
     """
     if not text or not text.strip():
         return []

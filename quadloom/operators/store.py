@@ -140,7 +140,8 @@ class QuadStore:
         added = self.add_quads(quads, ns)
         self.add_quads(meta, ns)
         if with_vectors and added:
-            named = triples.select(t.ensure_uri("subject", self.base).alias("subject"), t.ensure_uri("predicate", self.base).alias("predicate"), "object")
+            whole = triples.where(" and ".join(f"{c} is not null and {c} <> ''" for c in ("subject", "predicate", "object")))
+            named = whole.select(t.ensure_uri("subject", self.base).alias("subject"), t.ensure_uri("predicate", self.base).alias("predicate"), "object")
             self.add_vectors(vec.triple_vectors(named), ns)
         return added
 
