@@ -7,11 +7,14 @@ A word is a maximal run of ASCII letters, digits, ``_`` or any non-ASCII byte of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SLICE_BYTES = 2 << 20
 
@@ -119,3 +122,34 @@ def distinct_in_rows(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
 
 def list_array(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, type=kind))
+
+
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow in batches that are bounded in bytes, since texts differ in length by orders of magnitude.
+
+    The session's batch settings are set to BATCH unless its creator has set them. Workers are reused, so each
+    task gives the memory it freed back to the system as it ends.
+    """
+    spark = df.sparkSession
+    given = spark.sparkContext.getConf()
+    for k, v in BATCH.items():
+        if not given.contains(k):
+            spark.conf.set(k, v)
+
+    def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(thrifty, schema)
+
+
+def release() -> None:
+    """Returns freed memory to the system; glibc and Arrow keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.arrowtext import mix
+from quadloom.llm.arrowtext import mapped, mix
 
 #: More ids than this (a filter of 32 MB) get no filter; the caller's join then takes all rows.
 MOST = 1 << 24
@@ -49,7 +49,7 @@ def build(ids: DataFrame) -> Bloom | None:
                 at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(np.bitwise_or.reduceat(bit, at).view(np.int64))], names=["word", "bits"])
 
-    got = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = ids.transform(mapped, run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(n_words, dtype=np.uint64)
     words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return Bloom(words)

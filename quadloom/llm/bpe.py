@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.arrowtext import list_array, raw, slices
+from quadloom.llm.arrowtext import list_array, mapped, raw, slices
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 DEFAULT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -191,7 +191,7 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     names = [f"k{i}" for i in range(len(keep))]
     source = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(text).cast("string").alias("text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("token_ids", T.ArrayType(T.IntegerType(), True)), T.StructField("n_tokens", T.IntegerType())])
-    return source.mapInArrow(run, schema).toDF(*keep, "token_ids", "n_tokens")
+    return source.transform(mapped, run, schema).toDF(*keep, "token_ids", "n_tokens")
 
 
 def _text(codec: ForcedBoundaryBPE, ids: np.ndarray, rows: np.ndarray) -> pa.Array:
@@ -220,7 +220,7 @@ def decode(df: DataFrame, token_ids: str = "token_ids", keep: tuple[str, ...] =
     names = [f"k{i}" for i in range(len(keep))]
     source = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(token_ids).alias("token_ids"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType())])
-    return source.mapInArrow(run, schema).toDF(*keep, "text")
+    return source.transform(mapped, run, schema).toDF(*keep, "text")
 
 
 def round_trip(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = DEFAULT_VOCABULARY, pattern: str | None = DEFAULT_PATTERN) -> DataFrame:
@@ -244,7 +244,7 @@ def round_trip(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
     source = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).cast("string").alias("text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("token_ids", T.ArrayType(T.IntegerType(), True)), T.StructField("n_tokens", T.IntegerType()), T.StructField("lossless", T.BooleanType())])
-    return source.mapInArrow(run, schema).toDF(*keep, "token_ids", "n_tokens", "lossless")
+    return source.transform(mapped, run, schema).toDF(*keep, "token_ids", "n_tokens", "lossless")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

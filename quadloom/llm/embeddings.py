@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadloom.llm.arrowtext import mapped
 from quadloom.llm.storage import written
 
 EPS = 0.2
@@ -75,7 +76,7 @@ def _assigned(distinct: DataFrame, eps: float) -> DataFrame:
                     names=["cell", "home", "rep", "v"],
                 )
 
-    return distinct.mapInArrow(run, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType()), distinct.schema["rep"], distinct.schema["v"]]))
+    return distinct.transform(mapped, run, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType()), distinct.schema["rep"], distinct.schema["v"]]))
 
 
 def _pairs_within(eps: float):

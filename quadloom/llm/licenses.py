@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.arrowtext import distinct_in_rows, lowered, raw, slices, span_hash, words
+from quadloom.llm.arrowtext import distinct_in_rows, lowered, mapped, raw, slices, span_hash, words
 
 THRESHOLD = 0.8
 TEMPLATES: dict[str, str] = {
@@ -97,7 +97,7 @@ def block_frequencies(df: DataFrame, text: str = "text", templates: Mapping[str,
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["word", "n"])
 
-    counts = df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word int, n long")
+    counts = df.select(F.col(text).cast("string").alias("text")).transform(mapped, run, "word int, n long")
     return {r["word"]: r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -147,7 +147,7 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", templates: Mapp
 
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("key", source.schema["key"].dataType), T.StructField("block_no", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("overlap", T.IntegerType()), T.StructField("containment", T.DoubleType())])
-    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return source.transform(mapped, run, schema).withColumnRenamed("key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.llm.arrowtext import distinct_in_rows, list_array, mix, span_hash, word_slices
+from quadloom.llm.arrowtext import distinct_in_rows, list_array, mapped, mix, span_hash, word_slices
 from quadloom.llm.bloom import Bloom, build
 from quadloom.llm.components import connected_components
-from quadloom.llm.storage import drop_written, written
+from quadloom.llm.storage import drop_written, numbered, written
 
 SHINGLE = 2
 HALF_KEYS = 10
@@ -101,7 +101,7 @@ def signatures(source: DataFrame) -> DataFrame:
                     names=["doc", "same_a", "same_b", "keys"],
                 )
 
-    return source.mapInArrow(run, "doc long, same_a long, same_b long, keys array<long>")
+    return source.transform(mapped, run, "doc long, same_a long, same_b long, keys array<long>")
 
 
 def _table_keys(reps: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def _table_keys(reps: DataFrame) -> DataFrame:
                 table = mix(left[:, :, None] * np.uint64(0xD6E8FEB86659FD93) + right[:, None, :]).reshape(-1)
                 yield pa.RecordBatch.from_arrays([pa.array(table.view(np.int64)), pa.array(np.repeat(doc[k : k + 1024], HALF_KEYS * HALF_KEYS))], names=["key", "doc"])
 
-    return reps.select("doc", "keys").mapInArrow(run, "key long, doc long")
+    return reps.select("doc", "keys").transform(mapped, run, "key long, doc long")
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def _buckets(keyed: DataFrame) -> DataFrame:
             inside = np.repeat(some, n)
             yield pa.RecordBatch.from_arrays([list_array(d[inside], np.concatenate([[0], np.cumsum(n[some])]), pa.int64())], names=["members"])
 
-    return keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "members array<long>").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key", "doc").transform(mapped, run, "members array<long>").distinct()
 
 
 def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
                     same = [pa.array(h.view(np.int64)) for h in _set_hashes(v, edges)]
                     yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(live + i)), *same, list_array(v.view(np.int32), edges, pa.int32())], names=["doc", "same_a", "same_b", "shingles"])
 
-    each = source.mapInArrow(run, "doc long, same_a long, same_b long, shingles array<int>").join(wanted, "doc", "left_semi")
+    each = source.transform(mapped, run, "doc long, same_a long, same_b long, shingles array<int>").join(wanted, "doc", "left_semi")
     return each.groupBy("doc").agg(F.min(F.struct("same_a", "same_b", "shingles")).alias("s")).select("doc", "s.shingles")
 
 
@@ -197,7 +197,7 @@ def _crossing(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     placed = each.join(roots, each["doc"] == roots["node"], "left").select("bucket", "first", "doc", F.coalesce("root", "doc").alias("root"))
     mixed = placed.groupBy("bucket", "first").agg(F.countDistinct("root").alias("n")).where("n > 1").select("bucket", "first")
     groups = placed.join(mixed, ["bucket", "first"], "left_semi").groupBy("bucket", "first").agg(F.collect_list(F.struct("doc", "root")).alias("group"))
-    return groups.select("group").mapInArrow(run, "a long, b long").distinct()
+    return groups.select("group").transform(mapped, run, "a long, b long").distinct()
 
 
 def groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -236,12 +236,13 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
     repeated = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_k")).count().where("count > 1").select("_k")
     special = written(dropped.withColumn("_gone", F.lit(True)).unionByName(repeated.withColumn("_gone", F.lit(False))), "special")
     bloom = build(special.select("_k"))
-    at = df.columns.index(key)
-    settled, open_ = _split(df, at, bloom, False), _split(df, at, bloom, True)
+    names, at = df.columns, df.columns.index(key)
+    inner, k, t = numbered(df), f"c{at}", f"c{df.columns.index(text)}"
+    settled, open_ = _split(inner, at, bloom, False), _split(inner, at, bloom, True)
     gone = special.where("_gone").select("_k").distinct()
-    kept = open_.join(gone, open_[key].cast("long") == gone["_k"], "left_anti")
-    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))).where(f"_n = 1 or `{key}` is null").drop("_n")
-    return settled.unionByName(kept)
+    kept = open_.join(gone, F.col(k).cast("long") == F.col("_k"), "left_anti")
+    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(k).orderBy(F.col(t).asc_nulls_last()))).where(f"_n = 1 or {k} is null").drop("_n")
+    return settled.unionByName(kept).toDF(*names)
 
 
 def _split(df: DataFrame, at: int, bloom: Bloom | None, held: bool) -> DataFrame:
@@ -252,7 +253,7 @@ def _split(df: DataFrame, at: int, bloom: Bloom | None, held: bool) -> DataFrame
             may = np.ones(batch.num_rows, bool) if bloom is None else bloom.may_hold(batch.column(at).cast(pa.int64()))
             yield batch.filter(pa.array(may == held))
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(mapped, run, df.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

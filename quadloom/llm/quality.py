@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.arrowtext import distinct_in_rows, raw, span_hash, word_slices
+from quadloom.llm.arrowtext import distinct_in_rows, mapped, raw, span_hash, word_slices
 from quadloom.llm.storage import written
 from quadloom.llm.toxicity import label_of, labelled_sample
 
@@ -99,7 +99,7 @@ def fit(source: DataFrame, labels: DataFrame, label: str = "quality", most: int
             x = features(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(lab[lab >= 0].astype(np.int32)), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=["key", "y", *FEATURES])
 
-    got = source.mapInArrow(run, "key long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).dropDuplicates(["key"]).orderBy("key").toArrow()
+    got = source.transform(mapped, run, "key long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).dropDuplicates(["key"]).orderBy("key").toArrow()
     target = got["y"].to_numpy().astype(np.float64)
     if len(np.unique(target)) < 2:
         return None
@@ -133,7 +133,7 @@ def evidence(df: DataFrame, model, text: str = "text", key: str = "doc_id", host
 
     source = df.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("p", T.DoubleType())])
-    return source.mapInArrow(run, schema)
+    return source.transform(mapped, run, schema)
 
 
 def _strength(table: DataFrame, above: str) -> DataFrame:

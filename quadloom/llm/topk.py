@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.arrowtext import distinct_in_rows, span_hash, word_slices
+from quadloom.llm.arrowtext import distinct_in_rows, mapped, span_hash, word_slices
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -81,7 +81,7 @@ def corpus_statistics(source: DataFrame, vocabulary: np.ndarray) -> tuple[int, i
         at = np.flatnonzero(frequency)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[docs, total], frequency[at]]))], names=["term", "n"])
 
-    got = source.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = source.select("text").transform(mapped, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     n = dict(zip(got["term"].to_pylist(), got["n"].to_pylist()))
     frequency = np.array([n.get(t, 0) for t in range(len(vocabulary))], dtype=np.int64)
     return n.get(-2, 0), n.get(-1, 0), frequency
@@ -184,7 +184,7 @@ def _search_block(source: DataFrame, ids: pa.Array, vocabulary: np.ndarray, sets
             yield from flush(keys, row, term, tf, length)
 
     schema = T.StructType([T.StructField("query", query_type), T.StructField("doc", source.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, schema)
+    return source.transform(mapped, run, schema)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, text: str = "text", key: str = "doc_id", query_text: str = "text", query_key: str = "item_id") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm.arrowtext import span_hash, word_slices
+from quadloom.llm.arrowtext import mapped, span_hash, word_slices
 from quadloom.llm.minhash import signatures
 from quadloom.llm.storage import written
 
@@ -94,16 +94,16 @@ def word_counts(source: DataFrame) -> DataFrame:
             for _, _, _, h in _word_sets(batch.column("text")):
                 waiting.append(h)
                 held += len(h)
-                if held > (1 << 21):
+                if held > (1 << 20):
                     words, counts = _added(words, counts, waiting)
                     waiting, held = [], 0
-                    if len(words) > (1 << 21):
+                    if len(words) > (1 << 20):
                         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
                         words, counts = words[:0], counts[:0]
         words, counts = _added(words, counts, waiting)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
-    return source.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return source.select("text").transform(mapped, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def labelled_texts(source: DataFrame, ids: np.ndarray, y: np.ndarray) -> DataFrame:
@@ -157,7 +157,7 @@ def evidence(labelled: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, n
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["side", "n"])
 
-    got = labelled.mapInArrow(run, "side long, n long").groupBy("side").agg(F.sum("n").alias("n")).toArrow()
+    got = labelled.transform(mapped, run, "side long, n long").groupBy("side").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 * size)
     out[got["side"].to_numpy()] = got["n"].to_numpy()
     return out[1::2], out[::2]
@@ -186,7 +186,7 @@ def _with_any(source: DataFrame, vocabulary: np.ndarray, seeds: np.ndarray) -> t
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], docs))], names=["word", "n"])
 
-    got = source.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    got = source.select("text").transform(mapped, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     word, n = got["word"].to_numpy(), got["n"].to_numpy()
     held = np.zeros(len(vocabulary), dtype=np.int64)
     held[word[word >= 0]] = n[word >= 0]
@@ -204,7 +204,7 @@ def _pair_counts(source: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
         for m in np.unique(count[count > 1]):
             block = word[first[count == m][:, None] + np.arange(m)[None, :]]
             x, y = np.triu_indices(m, 1)
-            step = max(1, (1 << 20) // len(x))
+            step = max(1, (1 << 19) // len(x))
             for k in range(0, len(block), step):
                 yield (block[k : k + step][:, x] * size + block[k : k + step][:, y]).ravel()
 
@@ -215,16 +215,16 @@ def _pair_counts(source: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
                 for cell in pairs(row, word):
                     waiting.append(cell)
                     held += len(cell)
-                    if held > (1 << 21):
+                    if held > (1 << 20):
                         cells, counts = _added(cells, counts, waiting)
                         waiting, held = [], 0
-                        if len(cells) > (1 << 22):
+                        if len(cells) > (1 << 21):
                             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], names=["cell", "n"])
                             cells, counts = cells[:0], counts[:0]
         cells, counts = _added(cells, counts, waiting)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], names=["cell", "n"])
 
-    got = source.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).toArrow()
+    got = source.select("text").transform(mapped, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).toArrow()
     cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
     order = np.argsort(cell)
     return cell[order] // size, cell[order] % size, n[order]
@@ -309,7 +309,7 @@ def _scored(source: DataFrame, lexicon: np.ndarray, weights: np.ndarray, columns
 
     fields = [*(source.schema[c] for c in columns), T.StructField("n_terms", T.IntegerType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields if threshold is None else [*fields, T.StructField("toxic", T.BooleanType())])
-    return source.mapInArrow(run, schema)
+    return source.transform(mapped, run, schema)
 
 
 def calibrate(source: DataFrame, ids: np.ndarray, y: np.ndarray, lexicon: np.ndarray, weights: np.ndarray) -> float:
@@ -324,7 +324,7 @@ def calibrate(source: DataFrame, ids: np.ndarray, y: np.ndarray, lexicon: np.nda
                 score[i:j] = np.round(np.bincount(row, weights=weights[word], minlength=j - i), 9)
             yield pa.RecordBatch.from_arrays([pa.array(score), batch.column("y")], names=["score", "y"])
 
-    scored = labelled_texts(source, ids, y).mapInArrow(run, "score double, y int")
+    scored = labelled_texts(source, ids, y).transform(mapped, run, "score double, y int")
     got = scored.groupBy("score").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("score")).toArrow()
     score, bad, n = (got[c].to_numpy().astype(np.float64) for c in ("score", "bad", "n"))
     hits, called = np.cumsum(bad), np.cumsum(n)
@@ -361,7 +361,7 @@ def drop_toxic(df: DataFrame, labels: DataFrame, text: str = "text", key: str =
             yield batch.filter(pa.array(total < threshold))
 
     at = df.columns.index(text)
-    return df.mapInArrow(run, df.schema)
+    return df.transform(mapped, run, df.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

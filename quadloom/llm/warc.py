@@ -30,6 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadloom.llm.arrowtext import mapped
 from quadloom.llm.storage import new_folder, written
 
 LEVEL = 6
@@ -150,7 +151,7 @@ def normalise(files: DataFrame, out_dir: str, path: str = "path", level: int = L
     to.create_dir(folder, recursive=True)
     # A file to a task: a number that is given is not merged by adaptive execution.
     spread = files.select(path).repartition(max(1, n)) if n > 1 else files.select(path)
-    return spread.mapInArrow(run, INDEX) if n else spark.createDataFrame([], INDEX)
+    return spread.transform(mapped, run, INDEX) if n else spark.createDataFrame([], INDEX)
 
 
 _ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]]) for c in INDEX.split(", ")])
@@ -197,7 +198,7 @@ def pack(pages: DataFrame, out_dir: str, html: str = "html", url: str = "url", k
 
     to, folder = _place(out_dir)
     to.create_dir(folder, recursive=True)
-    return pages.select(F.col(key).cast("string"), F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(run, "path string, n_records long")
+    return pages.select(F.col(key).cast("string"), F.col(url).cast("string"), F.col(html).cast("string")).transform(mapped, run, "path string, n_records long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
