@@ -108,9 +108,9 @@ def src20_json_documents(spark, sf):
     return files.json_triples(docs, "j")
 
 
-@query(r"""select doc_id, unnest(regexp_extract_all(text, '(?i)\b[a-z]+@[a-z]+\.[a-z]+\b')) as found from documents""")
+@query(r"""select doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z.]+@[0-9a-z.]+[a-z]')) as found from documents""")
 def src24_regex_source(spark, sf):
-    return star.table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\b[a-z]+@[a-z]+\.[a-z]+\b"), F.lit(0))).alias("found"))
+    return star.table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z.]+@[0-9a-z.]+[a-z]"), F.lit(0))).alias("found"))
 
 
 # Store
