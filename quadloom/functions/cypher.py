@@ -98,14 +98,14 @@ def question(text: str) -> str:
     """Cypher for a question: what improves soil, swales and water, what is X, else a search for its longest word."""
     low = text.lower()
     if "what" in low and "improve" in low and "soil" in low:
-        return "MATCH (x)-[:improves]->(y) WHERE y CONTAINS 'soil' RETURN x"
+        return "MATCH (what)-[:improves]->(it) WHERE it CONTAINS 'soil' RETURN what"
     if ("show" in low or "find" in low) and "swale" in low and "water" in low:
-        return "MATCH (x)-[:captures]->(y) WHERE x CONTAINS 'swale' RETURN x, y"
+        return "MATCH (swale)-[:captures]->(it) WHERE swale CONTAINS 'swale' RETURN swale, it"
     words = re.findall(r"[\w-]+", text)
     if ("what is" in low or "tell me about" in low) and words:
-        return f"MATCH (n)-[r]-(m) WHERE n = '{words[-1]}' RETURN n, type(r), m LIMIT 20"
+        return f"MATCH (thing)-[link]-(other) WHERE thing = '{words[-1]}' RETURN thing, type(link), other LIMIT 20"
     longest = max(words, key=len, default="")
-    return f"MATCH (n)-[r]->(m) WHERE n CONTAINS '{longest}' OR m CONTAINS '{longest}' RETURN n, type(r), m LIMIT 20"
+    return f"MATCH (thing)-[link]->(other) WHERE thing CONTAINS '{longest}' OR other CONTAINS '{longest}' RETURN thing, type(link), other LIMIT 20"
 
 
 def repaired(text: str, relations: list[str], labels: list[str]) -> str:

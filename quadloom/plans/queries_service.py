@@ -56,7 +56,7 @@ def sc17_cypher_limit(spark, sf):
     return cypher.query(star.quads(spark, sf, "s_name", typed=("supplier",)), "MATCH (s:supplier) RETURN s LIMIT 20")
 
 
-@query("select 'urn:csv:region.csv:1' n, x as \"type(r)\", m from (select 'urn:csv:prop:r_name' x, r_name m from region where r_regionkey = 1 union all select 'urn:csv:prop:n_regionkey', 'urn:csv:nation.csv:' || n_nationkey from nation where n_regionkey = 1)")
+@query("select 'urn:csv:region.csv:1' thing, x as \"type(link)\", m other from (select 'urn:csv:prop:r_name' x, r_name m from region where r_regionkey = 1 union all select 'urn:csv:prop:n_regionkey', 'urn:csv:nation.csv:' || n_nationkey from nation where n_regionkey = 1)")
 def sc15_question(spark, sf):
     text = cypher.question("What is X").replace("'X'", "'urn:csv:region.csv:1'")
     return cypher.query(star.quads(spark, sf, "r_name", "n_regionkey"), text)

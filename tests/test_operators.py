@@ -241,7 +241,7 @@ def test_cypher(spark):
     q = quads(spark, ("http://e/FoodForest", "http://e/has", "http://e/Soil"), ("http://e/Mulch", "http://e/improves", "http://e/Soil"), ("http://e/T", "http://e/height", '"7"'), ("http://e/U", "http://e/height", '"3"'))
     ask = lambda text: rows(cypher.query(q, text))
     assert ask(cypher.question("What improves soil?")) == [("http://e/Mulch",)]
-    assert ask("MATCH (p)-[:height]->(h) WHERE h > 5 RETURN p, h") == [("http://e/T", "7")]
+    assert ask("MATCH (plant)-[:height]->(tall) WHERE tall > 5 RETURN plant, tall") == [("http://e/T", "7")]
     assert len(ask(cypher.question("What is Soil"))) == 2
     assert ask("MATCH (a)<-[r]-(b) WHERE a = 'Soil' AND b CONTAINS 'mulch' RETURN b, type(r)") == [("http://e/Mulch", "improves")]
     assert cypher.repaired("MATCH (a:Plnt)-[:improve]->(b) RETURN a", ["improves"], ["Plant"]) == "MATCH (a:Plant)-[:improves]->(b) RETURN a"
