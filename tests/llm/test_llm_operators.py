@@ -349,9 +349,9 @@ def test_whole_tables_without_sql(spark, name):
     table, key = ("pages", "page_id") if name.startswith("op3") else ("documents", "doc_id")
     want = {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()}
     assert {r[key] for r in got if r[key] is not None} == want
-    if name.startswith("op1"):
+    if name.startswith("op1_"):
         assert all(r["lossless"] for r in got)
-    if name.startswith("op5"):
+    if name.startswith("op5_"):
         texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
         ids = sorted(texts)
         root = _components([texts[i] for i in ids], minhash.THRESHOLD)
