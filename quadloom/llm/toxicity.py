@@ -1,15 +1,19 @@
 """Toxicity by lexicon induction on a word graph.
 
 1. The documents that hold each word are counted. Words that at least ``least_share`` of all documents
-   hold form the vocabulary, whose size the share bounds however large the corpus.
+   hold form the vocabulary; it stays in a table, and only seeds and words of the graph reach the driver.
 2. Seeds are labelled terms: words that in a bounded sample of labelled documents stand for toxic ones
    with confidence (lower Wilson bound, near-copies counted once); the opposite seeds are the words that
    most surely stand for clean ones.
 3. The word graph joins words by positive pointwise mutual information of occurring in one document.
-   It spans the seeds and every word that goes with them more than chance and noise explain, unless the
-   labelled documents show it to be no more toxic than documents are at large.
+   It spans the seeds and every word that goes with them, or with words that do, at any number of steps,
+   more than chance and noise explain, unless the labelled documents show it to be no more toxic than
+   documents are at large.
 4. Random walks over the graph between a word and the seeds of either kind give its polarity, from -1
-   to 1; polarity times the confidence that labelled documents give the word is its weight.
+   to 1; polarity times confidence is its weight. Confidence is the share (lower Wilson bound) of a word's
+   documents that hold a bad seed, or a word reached before, at that word's confidence; where labelled
+   documents hold the word, no more than they give it. It falls from step to step, and words at which it
+   is too low for the lexicon lead no further.
 5. A document scores the sum of the weights of its distinct lexicon words. The threshold is the one
    that does best (F1) on the labelled sample.
 
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,23 +148,11 @@ def independent(source: DataFrame, ids: np.ndarray, y: np.ndarray) -> tuple[np.n
     return kept, y[np.searchsorted(ids, kept)]
 
 
-def evidence(labelled: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many toxic, and how many clean texts of labelled(text, y) hold each word of the vocabulary."""
-    size = len(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(2 * size, dtype=np.int64)
-        for batch in batches:
-            y = batch.column("y").to_numpy()
-            for i, j, row, word in _word_sets(batch.column("text"), vocabulary):
-                n += np.bincount(word * 2 + (y[i:j][row] == 1), minlength=2 * size)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["side", "n"])
-
-    got = labelled.transform(mapped, run, "side long, n long").groupBy("side").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * size)
-    out[got["side"].to_numpy()] = got["n"].to_numpy()
-    return out[1::2], out[::2]
+def evidence(labelled: DataFrame) -> DataFrame:
+    """word, toxic, clean: how many toxic, and how many clean texts of labelled(text, y) hold each word."""
+    toxic = word_counts(labelled.where("y = 1")).select("word", F.col("n").alias("toxic"), F.lit(0).cast("long").alias("clean"))
+    clean = word_counts(labelled.where("y <> 1")).select("word", F.lit(0).cast("long").alias("toxic"), F.col("n").alias("clean"))
+    return toxic.unionByName(clean).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def wilson(hits: np.ndarray, n: np.ndarray, z: float = 1.96) -> np.ndarray:
@@ -170,31 +162,49 @@ def wilson(hits: np.ndarray, n: np.ndarray, z: float = 1.96) -> np.ndarray:
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def _with_any(source: DataFrame, vocabulary: np.ndarray, seeds: np.ndarray) -> tuple[int, np.ndarray]:
-    """Documents that hold a seed (places in the vocabulary), and how many of these hold each word."""
-    is_seed = np.zeros(len(vocabulary), dtype=bool)
-    is_seed[seeds] = True
+def _wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
+    """wilson() of columns."""
+    p = F.least(hits / n, F.lit(1.0))
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _with_any(source: DataFrame, reached: np.ndarray, confidence: np.ndarray) -> tuple[float, DataFrame]:
+    """Documents that hold one of reached (sorted hashes), and word, held: how many of these hold each word.
+
+    A document counts as much as the highest confidence, in thousandths, of the reached words in it.
+    """
+    share = np.round(confidence * 1000).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, held = 0, np.zeros(len(vocabulary), dtype=np.int64)
+        total, words, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for i, j, row, word in _word_sets(batch.column("text"), vocabulary):
-                live = np.zeros(j - i, dtype=bool)
-                live[row[is_seed[word]]] = True
-                docs += int(live.sum())
-                held += np.bincount(word[live[row]], minlength=len(vocabulary))
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], docs))], names=["word", "n"])
-
-    got = source.select("text").transform(mapped, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    word, n = got["word"].to_numpy(), got["n"].to_numpy()
-    held = np.zeros(len(vocabulary), dtype=np.int64)
-    held[word[word >= 0]] = n[word >= 0]
-    return int(n[word < 0].sum()), held
-
-
-def _pair_counts(source: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, n), a < b: documents that hold both words, for all pairs that any document does."""
+            for i, j, row, h in _word_sets(batch.column("text")):
+                at = np.minimum(np.searchsorted(reached, h), len(reached) - 1)
+                hit = reached[at] == h
+                most = np.zeros(j - i, dtype=np.int64)
+                np.maximum.at(most, row[hit], share[at[hit]])
+                total += int(most.sum())
+                live = most[row] > 0
+                words, back = np.unique(np.concatenate([words, h[live]]), return_inverse=True)
+                counts = np.bincount(back, weights=np.concatenate([counts, most[row[live]]]), minlength=len(words)).astype(np.int64)
+                if len(words) > (1 << 19):
+                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+                    words, counts = words[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], names=["word", "n"])
+
+    got = written(source.select("text").transform(mapped, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "held")
+    total = got.where("word is null").first()
+    return (total["n"] or 0) / 1000 if total else 0.0, got.where("word is not null").select("word", (F.col("n") / 1000).alias("held"))
+
+
+def _chance(a: np.ndarray, b: np.ndarray, m: np.ndarray, n_docs: int) -> np.ndarray:
+    """Documents that would hold both a and b by chance; m: those that hold each word."""
+    return m[a] * m[b] / n_docs
+
+
+def _pair_counts(source: DataFrame, vocabulary: np.ndarray, m: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n), a < b: documents that hold both words, for all pairs that more do than chance and noise explain."""
     size = len(vocabulary)
 
     def pairs(row: np.ndarray, word: np.ndarray) -> Iterator[np.ndarray]:
@@ -203,6 +213,9 @@ def _pair_counts(source: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
         # Rows of equally many words make one array of pairs.
         for m in np.unique(count[count > 1]):
             block = word[first[count == m][:, None] + np.arange(m)[None, :]]
+            if m > 1000:
+                yield from (one[k] * size + one[k + 1 :] for one in block for k in range(m - 1))
+                continue
             x, y = np.triu_indices(m, 1)
             step = max(1, (1 << 19) // len(x))
             for k in range(0, len(block), step):
@@ -224,7 +237,14 @@ def _pair_counts(source: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
         cells, counts = _added(cells, counts, waiting)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], names=["cell", "n"])
 
-    got = source.select("text").transform(mapped, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).toArrow()
+    def real(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, n = batch.column("cell").to_numpy(), batch.column("n").to_numpy()
+            chance = _chance(cell // size, cell % size, m, n_docs)
+            yield batch.filter(pa.array((n > chance) & (n > chance + 3 * np.sqrt(chance))))
+
+    counted = source.select("text").transform(mapped, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    got = counted.transform(mapped, real, "cell long, n long").toArrow()
     cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
     order = np.argsort(cell)
     return cell[order] // size, cell[order] % size, n[order]
@@ -261,38 +281,44 @@ def induce(source: DataFrame, ids: np.ndarray, y: np.ndarray, least_share: float
     empty = np.zeros(0, np.uint64), np.zeros(0)
     if not (y == 1).any():
         return empty
-    counts = written(word_counts(source), "words")
     n_docs = source.count()
-    used = counts.where(F.col("n") >= max(LEAST_DOCUMENTS, least_share * n_docs)).toArrow()
-    vocabulary = used["word"].to_numpy().view(np.uint64)
-    order = np.argsort(vocabulary)
-    vocabulary, n = vocabulary[order], used["n"].to_numpy().astype(np.float64)[order]
-    if not len(vocabulary):
-        return empty
-    toxic, clean = evidence(labelled_texts(source, ids, y), vocabulary)
-    seen = toxic + clean
-    bound = wilson(toxic, seen)
-    bad = np.flatnonzero(bound >= SEED_BOUND)
-    if not len(bad):
+    counts = written(word_counts(source).where(F.col("n") >= max(LEAST_DOCUMENTS, least_share * n_docs)), "words")
+    sides = evidence(written(labelled_texts(source, ids, y), "labelled"))
+    seen = F.col("toxic") + F.col("clean")
+    known = written(counts.join(sides, "word").withColumn("bound", _wilson(F.col("toxic"), seen)), "known")
+    seeds = known.where(F.col("bound") >= SEED_BOUND).toArrow()
+    if not seeds.num_rows:
         return empty
-    good = np.lexsort((vocabulary, -n, -wilson(clean, seen)))
-    good = np.setdiff1d(good[: max(len(bad), 8)], bad)
-    seed_docs, with_seed = _with_any(source, vocabulary, bad)
-    expected = n * seed_docs / n_docs
-    tied = (with_seed >= LEAST_DOCUMENTS) & (with_seed - expected > 3 * np.sqrt(np.maximum(expected, 1))) & (with_seed >= 2 * expected)
+    best = known.orderBy(F.desc(_wilson(F.col("clean"), seen)), F.desc("n"), "word").limit(max(seeds.num_rows, 8)).toArrow()
+    # n: documents that hold each member; sure: confidence in it.
+    bad, good = (x["word"].to_numpy().view(np.uint64) for x in (seeds, best))
+    new = ~np.isin(good, bad)
+    good = good[new]
+    members, n, sure = (np.concatenate([seeds[c].to_numpy(), best[c].to_numpy()[new]]) for c in ("word", "n", "bound"))
+    members = members.view(np.uint64)
+    reached, confidence = bad, np.ones(len(bad))
     # Words that labelled documents show to be no more toxic than documents are at large can get no weight.
-    suspect = (seen == 0) | (bound > (y == 1).mean())
-    members = np.unique(np.concatenate([bad, good, np.flatnonzero(tied & suspect)]))
-    a, b, together = _pair_counts(source, vocabulary[members])
-    m = n[members]
-    chance = m[a] * m[b] / n_docs
-    ppmi = np.log(together / chance)
-    real = (ppmi > 0) & (together > chance + 3 * np.sqrt(chance))
-    a, b, ppmi = a[real], b[real], ppmi[real]
-    polarity = walk(a, b, ppmi, np.isin(members, bad), np.isin(members, good))
-    weight = np.round(polarity * np.where(seen[members] > 0, bound[members], 0.0), 9)
+    suspect = F.col("bound").isNull() | (F.col("bound") > float((y == 1).mean()))
+    while True:
+        order = np.argsort(reached)
+        mass, with_any = _with_any(source, reached[order], confidence[order])
+        expected = F.col("n") * (mass / n_docs)
+        tied = (F.col("held") >= LEAST_DOCUMENTS) & (F.col("held") - expected > 3 * F.sqrt(F.greatest(expected, F.lit(1.0)))) & (F.col("held") >= 2 * expected)
+        found = with_any.join(counts, "word").where(tied).join(known.select("word", "bound"), "word", "left").where(suspect)
+        got = found.select("word", "n", F.least("bound", _wilson(F.col("held"), F.col("n"))).alias("sure")).where(F.col("sure") > LEAST_WEIGHT).toArrow()
+        word = got["word"].to_numpy().view(np.uint64)
+        new = ~np.isin(word, members)
+        if not new.any():
+            break
+        members, n, sure = np.concatenate([members, word[new]]), np.concatenate([n, got["n"].to_numpy()[new]]), np.concatenate([sure, got["sure"].to_numpy()[new]])
+        reached, confidence = np.concatenate([reached, word[new]]), np.concatenate([confidence, got["sure"].to_numpy()[new]])
+    order = np.argsort(members)
+    members, m, sure = members[order], n[order].astype(np.float64), sure[order]
+    a, b, together = _pair_counts(source, members, m, n_docs)
+    polarity = walk(a, b, np.log(together / _chance(a, b, m, n_docs)), np.isin(members, bad), np.isin(members, good))
+    weight = np.round(polarity * sure, 9)
     keep = np.flatnonzero(weight > LEAST_WEIGHT)
-    return vocabulary[members][keep], weight[keep]
+    return members[keep], weight[keep]
 
 
 def _scored(source: DataFrame, lexicon: np.ndarray, weights: np.ndarray, columns: list[str], threshold: float | None) -> DataFrame:

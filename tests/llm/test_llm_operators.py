@@ -325,6 +325,26 @@ def test_toxicity_finds_unlabelled_bad_words(spark):
     assert len(odd) == len(ODD)
 
 
+def test_toxicity_reaches_words_that_no_labelled_document_holds(spark):
+    r = np.random.default_rng(12)
+    neutral = [f"plain{k}" for k in range(200)]
+    bad, near, far = ([f"{x}{k}" for k in range(n)] for x, n in (("vile", 4), ("near", 6), ("far", 6)))
+    kinds = {i: ("none" if i % 10 < 5 else "both") if i < 420 else "step" if i < 460 else "near only" if i < 480 else "far only" if i < 500 else "clean" for i in range(300, 1500)}
+    held = {"none": [], "both": [*bad[:2], *near], "step": [*near, *far], "near only": near, "far only": far, "clean": []}
+    texts = []
+    for i in range(1500):
+        t = list(r.choice(neutral, 30))
+        t[5:5] = held[kinds[i]] if i in kinds else list(r.choice(bad, 3, replace=False)) if i % 6 == 0 else []
+        texts.append(" ".join(t))
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.score(docs(spark, texts), labels).collect()}
+    of = lambda kind: [got[i] for i in kinds if kinds[i] == kind]
+    assert all(x["n_terms"] == len(near) and x["score"] > 0 for x in of("near only"))
+    assert all(x["n_terms"] == len(far) and x["score"] > 0 for x in of("far only"))
+    assert all(x["toxic"] for x in of("step"))
+    assert not any(x["toxic"] for x in of("clean"))
+
+
 def test_random_walk_against_dense_solution():
     r = np.random.default_rng(4)
     n = 12
