@@ -1,7 +1,8 @@
 """Toxicity by lexicon induction on a word graph.
 
-1. The documents that hold each word are counted. Words that at least ``least_share`` of all documents
-   hold form the vocabulary; it stays in a table, and only seeds and words of the graph reach the driver.
+1. The documents that hold each word are counted. Words that at least ``LEAST_DOCUMENTS`` hold form
+   the vocabulary, however large the corpus; it stays in a table, and only seeds and words of the graph
+   reach the driver.
 2. Seeds are labelled terms: words that in a bounded sample of labelled documents stand for toxic ones
    with confidence (lower Wilson bound, near-copies counted once); the opposite seeds are the words that
    most surely stand for clean ones.
@@ -41,7 +42,6 @@ from quadloom.llm.minhash import signatures
 from quadloom.llm.storage import written
 
 LABELLED = 50_000
-LEAST_SHARE = 0.001
 LEAST_DOCUMENTS = 3
 SEED_BOUND = 0.6
 STEPS = 50
@@ -276,13 +276,13 @@ def walk(a: np.ndarray, b: np.ndarray, weight: np.ndarray, bad: np.ndarray, good
     return p
 
 
-def induce(source: DataFrame, ids: np.ndarray, y: np.ndarray, least_share: float = LEAST_SHARE) -> tuple[np.ndarray, np.ndarray]:
+def induce(source: DataFrame, ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted word hashes, weights) of the lexicon; source: key, text."""
     empty = np.zeros(0, np.uint64), np.zeros(0)
     if not (y == 1).any():
         return empty
     n_docs = source.count()
-    counts = written(word_counts(source).where(F.col("n") >= max(LEAST_DOCUMENTS, least_share * n_docs)), "words")
+    counts = written(word_counts(source).where(F.col("n") >= LEAST_DOCUMENTS), "words")
     sides = evidence(written(labelled_texts(source, ids, y), "labelled"))
     seen = F.col("toxic") + F.col("clean")
     known = written(counts.join(sides, "word").withColumn("bound", _wilson(F.col("toxic"), seen)), "known")
@@ -358,26 +358,26 @@ def calibrate(source: DataFrame, ids: np.ndarray, y: np.ndarray, lexicon: np.nda
     return float(score[int(np.argmax(f1))]) if len(f1) and f1.max() > 0 else float("inf")
 
 
-def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", least_share: float = LEAST_SHARE) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """(word hashes, weights, threshold)."""
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     ids, y = labelled_sample(labels, label)
     if len(ids):
         ids, y = independent(source, ids, y)
-    lexicon, weights = induce(source, ids, y, least_share)
+    lexicon, weights = induce(source, ids, y)
     return lexicon, weights, calibrate(source, ids, y, lexicon, weights)
 
 
-def score(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", least_share: float = LEAST_SHARE) -> DataFrame:
+def score(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
     """key, n_terms, score, toxic for every row of df."""
-    lexicon, weights, threshold = fit(df, labels, text, key, label, least_share)
+    lexicon, weights, threshold = fit(df, labels, text, key, label)
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return _scored(source, lexicon, weights, ["key"], threshold).withColumnRenamed("key", key)
 
 
-def drop_toxic(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", least_share: float = LEAST_SHARE) -> DataFrame:
+def drop_toxic(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
     """df without the rows found toxic."""
-    lexicon, weights, threshold = fit(df, labels, text, key, label, least_share)
+    lexicon, weights, threshold = fit(df, labels, text, key, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -345,6 +345,15 @@ def test_toxicity_reaches_words_that_no_labelled_document_holds(spark):
     assert not any(x["toxic"] for x in of("clean"))
 
 
+def test_toxicity_keeps_rare_words_of_a_large_corpus(spark):
+    r = np.random.default_rng(13)
+    neutral = np.array([f"plain{k}" for k in range(300)])
+    texts = [" ".join(r.choice(neutral, 12)) + (" vile" if i < 7 else "") for i in range(8000)]
+    labels = spark.createDataFrame([(i, 1, int(i < 6)) for i in [*range(6), *range(100, 300)]], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"] for x in toxicity.score(docs(spark, texts), labels).where("toxic").collect()}
+    assert got == set(range(7))
+
+
 def test_random_walk_against_dense_solution():
     r = np.random.default_rng(4)
     n = 12
