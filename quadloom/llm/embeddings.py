@@ -11,8 +11,11 @@ so no task grows with a dense region.
 Equal vectors become one before the join and are counted afterwards, so a group of copies costs no
 more than its rows.
 
-Nulls: a vector that is null, empty, or has a null or NaN in it is near nothing, as is one whose
-dimension is not the most common. Rows with a null id take part as any other but are not reported.
+Vectors of each dimension are joined among themselves, with pivots of their own; vectors of different
+dimensions are not near each other.
+
+Nulls: a vector that is null, empty, or has a null or NaN in it is near nothing. Rows with a null id
+are not reported and, as n_near and near_id tell of ids, add to neither.
 Repeated rows of one id count as one if their vectors are equal. Ties in distance need no order. An
 empty table gives an empty result. Pairs at exactly eps are in range.
 """
@@ -20,6 +23,7 @@ empty table gives an empty result. Pairs at exactly eps are in range.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +46,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _usable(df: DataFrame, vector: str) -> DataFrame:
     v = F.col(vector)
-    sound = df.where(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
-    common = sound.groupBy(F.size(v).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1)
-    return sound.join(F.broadcast(common.select("d")), F.size(v) == F.col("d"), "left_semi")
+    return df.where(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
 
 
 def _assigned(distinct: DataFrame, eps: float) -> DataFrame:
@@ -135,7 +137,9 @@ def near(df: DataFrame, vector: str = "embedding", key: str = "vec_id", eps: flo
     sound = _usable(rows, "v")
     copies = sound.groupBy("v").agg(F.min("id").alias("least"), F.count("id").alias("copies"), F.coalesce(F.min("id"), F.xxhash64("v")).alias("rep"))
     copies = written(copies, "distinct")
-    pairs = written(range_pairs(copies.where("least is not null").select("rep", "v"), EPS if eps is None else eps), "pairs")
+    named = copies.where("least is not null").select("rep", "v")
+    dimensions = [r["d"] for r in named.select(F.size("v").alias("d")).distinct().orderBy("d").collect()] or [0]
+    pairs = reduce(DataFrame.unionByName, (written(range_pairs(named.where(F.size("v") == d), EPS if eps is None else eps), "pairs") for d in dimensions))
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
     size = copies.select(F.col("rep").alias("b"), F.col("copies").alias("n"))
     around = both.join(size, "b").groupBy("a").agg(F.sum("n").alias("n"), F.min("b").alias("b"))

@@ -88,6 +88,19 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near(df.where("false")).collect() == []
 
 
+def test_embeddings_of_every_dimension(spark):
+    r = np.random.default_rng(6)
+    v = [*(r.normal(size=(60, 8)) * 0.1), *(r.normal(size=(40, 3)) * 0.1), *(r.normal(size=(20, 5)) * 0.1)]
+    v[99] = v[60]
+    v = [np.float64(rows_of(x)) for x in v]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {x["vec_id"]: x for x in embeddings.near(df, eps=0.2).collect()}
+    for i in range(len(v)):
+        near = [j for j in range(len(v)) if j != i and len(v[i]) == len(v[j]) and np.sqrt(((v[i] - v[j]) ** 2).sum()) <= 0.2]
+        assert (got[i]["n_near"], got[i]["near_id"], got[i]["keep"]) == (len(near), min([i, *near]), min([i, *near]) == i), i
+    assert got[99]["n_near"] > 0 and not got[99]["keep"]
+
+
 def rows_of(v):
     return [float(np.float32(x)) for x in v]
 
