@@ -8,19 +8,26 @@ similarity s meet if any left and any right half key agree, with probability (1
 Groups are the connected components of verified pairs:
 
 1. Documents of equal shingle sets become one, the one of the smallest id, before anything else.
-2. Each table key's documents are a bucket; equal buckets of different tables become one.
+2. Each table key's documents are a bucket; of equal buckets in several tables one is kept.
 3. Every member is compared with its bucket's first; exact Jaccard similarity decides.
-4. Only members of a bucket that are not in one component by then are compared with each other, in
-   all pairs that cross components: a pair within one cannot change the result. Nothing is capped.
+4. Of the buckets whose members are not in one component by then, members of different components are
+   compared in an exact set-similarity join: shingles are ordered by how many of these documents have them,
+   rarest first, and two sets that are similar enough share a shingle within both their prefixes. So a passage
+   that many documents share does not make pairs of them all. A pair within one component can't change the result.
+   Nothing is capped.
 
-Shingle sets are sets of 32-bit hashes, so a set of n shingles differs from the true one with
-probability about n^2 / 2^33.
+A bucket may hold any share of all documents: it is never gathered, its first and size are aggregated before
+the shuffle, members are looked up with heavy keys broadcast, and the first's set is copied to as many salts as the
+bucket's size asks for.
 
-Nulls: a document without words (null, empty, marks only) is no duplicate of anything. Rows with a
-null id cannot be told apart by id: they are left out of groups() and kept by deduplicate(). Repeated
+Shingle sets are sets of 64-bit hashes; that two of n different shingles have one hash has a probability
+of about n^2 / 2^65, 3 in 10^10 for 100,000.
+
+Ids may be of any type that has an order. Nulls: a document without words (null, empty, marks only) is no duplicate of
+anything. Rows with a null id cannot be told apart by id: they are left out of groups() and kept by deduplicate(). Repeated
 rows of one id count as one document, and deduplicate() keeps the one whose text comes first in order;
 where their texts differ, the one whose shingle set has the smallest hash decides about the group. Texts of fewer words than a
-shingle are one shingle. An empty table gives empty results.
+shingle are one shingle. An empty table gives empty results. Columns of any name pass through deduplicate().
 """
 
 from __future__ import annotations
@@ -31,28 +38,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadloom.llm.arrowtext import distinct_in_rows, list_array, mapped, mix, span_hash, word_slices
-from quadloom.llm.bloom import Bloom, build
+from quadloom.llm.bloom import Bloom, build, split
 from quadloom.llm.components import connected_components
+from quadloom.llm.skew import lookup
 from quadloom.llm.storage import drop_written, numbered, written
 
 SHINGLE = 2
 HALF_KEYS = 10
 HALF_SIZE = 3
 THRESHOLD = 0.6
+#: Pairs of one document that are verified in one task.
+SALT_ROWS = 1 << 16
 _SEED = np.random.default_rng(20_240_607)
 _FACTORS = _SEED.integers(1, 1 << 63, size=2 * HALF_KEYS * HALF_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _SEED.integers(1, 1 << 63, size=2 * HALF_KEYS * HALF_SIZE, dtype=np.uint64)
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, sorted distinct 32-bit shingle hashes, bounds of each row's)."""
+    """(first row, end row, sorted distinct 64-bit shingle hashes, bounds of each row's)."""
     for i, j, data, s, e, first in word_slices(column):
         h = span_hash(data, s, e)
         n = np.diff(first)
         if not len(h):
-            yield i, j, np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
+            yield i, j, np.zeros(0, np.uint64), np.zeros(j - i + 1, np.int64)
             continue
         value = h.copy()
         row = np.repeat(np.arange(j - i), n)
@@ -61,14 +72,14 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         short = n < SHINGLE
         last = first[1:][row]
         keep = (np.arange(len(h)) + SHINGLE <= last) | (short[row] & (np.arange(len(h)) == first[:-1][row]))
-        value, row = (mix(value[keep]) >> np.uint64(32)).astype(np.uint32), row[keep]
+        value, row = mix(value[keep]), row[keep]
         v, _, bounds = distinct_in_rows(value, np.searchsorted(row, np.arange(j - i + 1)))
         yield i, j, v, bounds
 
 
 def _half_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(rows, 2 x HALF_KEYS) uint64; every row must have values."""
-    x = mix(values.astype(np.uint64) + np.uint64(1))
+    x = mix(values + np.uint64(1))
     out = np.zeros((len(bounds) - 1, 2 * HALF_KEYS), dtype=np.uint64)
     for k in range(2 * HALF_KEYS):
         key = np.full(len(bounds) - 1, k + 1, dtype=np.uint64)
@@ -80,10 +91,15 @@ def _half_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _set_hashes(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that tell shingle sets apart; every row must have values."""
-    h = mix(values.astype(np.uint64) + np.uint64(7))
+    h = mix(values + np.uint64(7))
     return np.add.reduceat(h, bounds[:-1]), np.bitwise_xor.reduceat(mix(h), bounds[:-1])
 
 
+def _typed(doc: T.StructField, fields: str) -> str:
+    """A schema of doc and further fields."""
+    return f"doc {doc.dataType.simpleString()}, {fields}"
+
+
 def signatures(source: DataFrame) -> DataFrame:
     """doc, same (hash of the shingle set), keys (2 x HALF_KEYS half keys) of source(doc, text); documents without words are left out."""
 
@@ -101,159 +117,137 @@ def signatures(source: DataFrame) -> DataFrame:
                     names=["doc", "same_a", "same_b", "keys"],
                 )
 
-    return source.transform(mapped, run, "doc long, same_a long, same_b long, keys array<long>")
+    return source.transform(mapped, run, _typed(source.schema["doc"], "same_a long, same_b long, keys array<long>"))
 
 
-def _table_keys(reps: DataFrame) -> DataFrame:
-    """key, doc: all HALF_KEYS x HALF_KEYS table keys of each document."""
+def _table_keys(reps: DataFrame, wanted: Bloom | None = None) -> DataFrame:
+    """key, doc: all HALF_KEYS x HALF_KEYS table keys of each document, or those that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column("doc").to_numpy()
             keys = np.asarray(batch.column("keys").flatten()).view(np.uint64).reshape(-1, 2 * HALF_KEYS)
-            for k in range(0, len(doc), 1024):
+            for k in range(0, len(keys), 1024):
                 left, right = keys[k : k + 1024, :HALF_KEYS], keys[k : k + 1024, HALF_KEYS:]
-                table = mix(left[:, :, None] * np.uint64(0xD6E8FEB86659FD93) + right[:, None, :]).reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(table.view(np.int64)), pa.array(np.repeat(doc[k : k + 1024], HALF_KEYS * HALF_KEYS))], names=["key", "doc"])
-
-    return reps.select("doc", "keys").transform(mapped, run, "key long, doc long")
-
-
-def _buckets(keyed: DataFrame) -> DataFrame:
-    """members (sorted ids, two at least): the distinct buckets of key, doc."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = np.concatenate([held_k, batch.column("key").to_numpy()])
-            d = np.concatenate([held_d, batch.column("doc").to_numpy()])
-            at = int(np.searchsorted(k, k[-1]))
-            yield from emit(k[:at], d[:at])
-            held_k, held_d = k[at:], d[at:]
-        yield from emit(held_k, held_d)
-
-    def emit(k: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(k) < 2:
-            return
-        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        n = np.diff(np.append(at, len(k)))
-        some = n > 1
-        if some.any():
-            inside = np.repeat(some, n)
-            yield pa.RecordBatch.from_arrays([list_array(d[inside], np.concatenate([[0], np.cumsum(n[some])]), pa.int64())], names=["members"])
-
-    return keyed.repartition("key").sortWithinPartitions("key", "doc").transform(mapped, run, "members array<long>").distinct()
+                table = pa.array(mix(left[:, :, None] * np.uint64(0xD6E8FEB86659FD93) + right[:, None, :]).reshape(-1).view(np.int64))
+                row = np.repeat(np.arange(k, k + len(left)), HALF_KEYS * HALF_KEYS)
+                if wanted is not None:
+                    hit = wanted.may_hold(table)
+                    table, row = table.filter(pa.array(hit)), row[hit]
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), table], names=["doc", "key"])
+
+    return reps.select("doc", "keys").transform(mapped, run, _typed(reps.schema["doc"], "key long"))
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """bucket, first, size, doc: a row per member of each distinct bucket of two documents or more."""
+    keyed = _table_keys(reps)
+    shared = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("size > 1")
+    kept = written(shared.groupBy("first", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "first", "size"), "buckets")
+    found = lookup(_table_keys(reps, build(kept, hashed=True)), kept, ["key"], "size")
+    out = written(found.select(F.col("key").alias("bucket"), "first", "size", "doc"), "members")
+    drop_written(kept)
+    return out
 
 
 def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc, shingles of those rows of source(doc, text) whose doc is in wanted(doc), a row per id.
 
-    A Bloom filter drops most other rows before anything of them is shuffled; the join is exact.
+    A Bloom filter drops other rows before anything of them is shuffled; the join is exact.
     """
     bloom = build(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if bloom is not None:
-                batch = batch.filter(pa.array(bloom.may_hold(batch.column("doc"))))
+            batch = batch.filter(pa.array(bloom.may_hold(batch.column("hash"))))
             for i, j, v, bounds in shingle_sets(batch.column("text")):
                 live = np.flatnonzero(np.diff(bounds))
                 if len(live):
                     edges = np.append(bounds[:-1][live], bounds[-1])
                     same = [pa.array(h.view(np.int64)) for h in _set_hashes(v, edges)]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(live + i)), *same, list_array(v.view(np.int32), edges, pa.int32())], names=["doc", "same_a", "same_b", "shingles"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(live + i)), *same, list_array(v.view(np.int64), edges, pa.int64())], names=["doc", "same_a", "same_b", "shingles"])
 
-    each = source.transform(mapped, run, "doc long, same_a long, same_b long, shingles array<int>").join(wanted, "doc", "left_semi")
+    hashed = source.select("doc", "text", F.xxhash64("doc").alias("hash"))
+    each = hashed.transform(mapped, run, _typed(source.schema["doc"], "same_a long, same_b long, shingles array<long>")).join(wanted, "doc", "left_semi")
     return each.groupBy("doc").agg(F.min(F.struct("same_a", "same_b", "shingles")).alias("s")).select("doc", "s.shingles")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of distinct documents whose Jaccard similarity is at least the threshold, with it."""
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
+    """The pairs (a, b) of distinct documents whose Jaccard similarity is at least the threshold.
+
+    An a of many pairs is spread: its set goes to one salt per SALT_ROWS of them.
+    """
+    spread = written(pairs.groupBy("a").agg(F.count("*").alias("rows")), "spread")
+    top = F.floor(F.col("rows") / SALT_ROWS).cast("int")
+    left = sets.join(spread, F.col("doc") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), top)).alias("salt"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
-    # b first: members spread over the cluster, and each meets the few firsts of its buckets.
-    both = pairs.join(right, "b").join(left, "a")
+    salted = lookup(pairs, spread, ["a"], "rows").select("a", "b", F.pmod(F.xxhash64("b"), top + 1).cast("int").alias("salt"))
+    both = salted.join(right, "b").join(left, ["a", "salt"])
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= threshold).select("a", "b")
 
 
-def _crossing(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of bucket members in different components, but for those with the bucket's first."""
+def _crossing(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of documents in different components, both from buckets that several components share, that may be similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for group in batch.column("group").to_pylist():
-                group.sort(key=lambda x: x["doc"])
-                doc = np.array([x["doc"] for x in group], dtype=np.int64)
-                root = np.array([x["root"] for x in group], dtype=np.int64)
-                for k in range(1, len(doc)):
-                    other = np.flatnonzero(root[k + 1 :] != root[k]) + k + 1
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), doc[k])), pa.array(doc[other])], names=["a", "b"])
-
-    each = buckets.where(F.size("members") > 2).select(F.xxhash64("members").alias("bucket"), F.col("members")[0].alias("first"), F.explode("members").alias("doc"))
-    placed = each.join(roots, each["doc"] == roots["node"], "left").select("bucket", "first", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = placed.groupBy("bucket", "first").agg(F.countDistinct("root").alias("n")).where("n > 1").select("bucket", "first")
-    groups = placed.join(mixed, ["bucket", "first"], "left_semi").groupBy("bucket", "first").agg(F.collect_list(F.struct("doc", "root")).alias("group"))
-    return groups.select("group").transform(mapped, run, "a long, b long").distinct()
+    An exact prefix-filtered join: every such pair that is similar enough is among them.
+    """
+    placed = members.where("size > 2").join(roots, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
+    placed = written(placed, "placed")
+    mixed = written(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low <> high").select("bucket", "rows"), "mixed")
+    docs = lookup(placed, mixed, ["bucket"], "rows").select("doc", "root").distinct()
+    tokens = written(sets.join(docs, "doc").select("doc", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "tokens")
+    held = tokens.groupBy("shingle").agg(F.count("*").alias("rows"))
+    held = written(held, "held")
+    order = Window.partitionBy("doc").orderBy("rows", "shingle")
+    ranked = lookup(tokens, held, ["shingle"], "rows").withColumn("at", F.row_number().over(order))
+    prefix = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("rows") > 1)).select("shingle", "doc", "root", "n")
+    prefix = written(prefix, "prefixes")
+    a, b = (prefix.select("shingle", *(F.col(c).alias(c + side) for c in ("doc", "root", "n"))) for side in ("_a", "_b"))
+    long_enough = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
+    met = a.join(b, "shingle").where((F.col("doc_a") < F.col("doc_b")) & (F.col("root_a") != F.col("root_b")) & long_enough)
+    out = written(met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), "crossing")
+    drop_written(placed, mixed, tokens, held, prefix)
+    return out
 
 
 def groups(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """key, group_id: a row for every id of df; group_id is the smallest id of its group."""
-    source = df.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null")
-    signed = written(signatures(source), "signatures")
-    one = signed.groupBy("doc").agg(F.min(F.struct("same_a", "same_b", "keys")).alias("s")).select("doc", "s.*")
-    equal = Window.partitionBy("same_a", "same_b")
-    owned = written(one.select("doc", "same_a", "same_b").withColumn("rep", F.min("doc").over(equal)).select("doc", "rep"), "equal")
-    reps = one.groupBy("same_a", "same_b").agg(F.min(F.struct("doc", "keys")).alias("s")).select("s.*")
-    buckets = written(_buckets(_table_keys(reps)), "buckets")
-    starred = buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("b")).distinct()
-    pairs = written(starred, "pairs")
-    wanted = written(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "wanted")
+    source = df.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null")
+    one = written(signatures(source).groupBy("doc").agg(F.min(F.struct("same_a", "same_b", "keys")).alias("s")).select("doc", "s.*"), "signatures")
+    # Equal sets have equal keys.
+    equal = written(one.groupBy("same_a", "same_b").agg(F.min("doc").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("rows")), "equal")
+    owned = lookup(one.select("doc", "same_a", "same_b"), equal.where("rows > 1").select("same_a", "same_b", "rep", "rows"), ["same_a", "same_b"], "rows").select("doc", "rep")
+    members = _members(equal.select(F.col("rep").alias("doc"), "keys"))
+    pairs = written(members.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    wanted = written(members.select("doc").distinct(), "wanted")
     sets = written(_sets(source, wanted), "sets")
-    edges = written(_verified(pairs, sets, threshold).select("a", "b"), "edges")
-    roots = connected_components(edges)
-    more = _verified(_crossing(buckets, roots), sets, threshold).select("a", "b")
-    more = written(more, "edges")
+    edges = written(_verified(pairs, sets, threshold), "edges")
+    roots = written(connected_components(edges), "roots")
+    more = written(_verified(_crossing(members, roots, sets, threshold), sets, threshold), "edges")
     if not more.isEmpty():
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more))
-    roots = written(roots, "roots")
-    drop_written(signed, buckets, pairs, wanted, sets, edges, more)
-    grouped = owned.join(roots, owned["rep"] == roots["node"], "left").select("doc", F.coalesce("root", "rep").alias("group_id"))
+        roots = written(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more)), "roots")
+    grouped = written(one.select("doc").join(owned, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("rep")).join(roots.where("node <> root"), F.col("rep") == F.col("node"), "left").select("doc", F.coalesce("root", "rep").alias("group_id")).where("doc <> group_id"), "grouped")
+    drop_written(one, equal, members, pairs, wanted, sets, edges, more, roots)
     every = df.select(F.col(key).alias("_k")).where("_k is not null").distinct()
-    return every.join(grouped, every["_k"].cast("long") == grouped["doc"], "left").select(F.col("_k").alias(key), F.coalesce("group_id", F.col("_k").cast("long")).alias("group_id"))
+    return every.join(grouped, F.col("_k") == F.col("doc"), "left").select(F.col("_k").alias(key), F.coalesce("group_id", "_k").alias("group_id"))
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """df with one row of each group: one of the smallest id. Rows with a null id stay.
 
-    Only rows whose id may be dropped or repeated, by a Bloom filter, are joined and sorted.
+    Only rows whose id may be dropped or repeated, by a Bloom filter, are sorted and joined.
     """
-    found = written(groups(df, text, key, threshold), "groups")
-    dropped = found.where(F.col(key).cast("long") != F.col("group_id")).select(F.col(key).cast("long").alias("_k"))
-    repeated = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_k")).count().where("count > 1").select("_k")
+    found = groups(df, text, key, threshold)
+    dropped = found.where(F.col(key) != F.col("group_id")).select(F.col(key).alias("_k"))
+    repeated = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).count().where("count > 1").select("_k")
     special = written(dropped.withColumn("_gone", F.lit(True)).unionByName(repeated.withColumn("_gone", F.lit(False))), "special")
-    bloom = build(special.select("_k"))
     names, at = df.columns, df.columns.index(key)
     inner, k, t = numbered(df), f"c{at}", f"c{df.columns.index(text)}"
-    settled, open_ = _split(inner, at, bloom, False), _split(inner, at, bloom, True)
-    gone = special.where("_gone").select("_k").distinct()
-    kept = open_.join(gone, F.col(k).cast("long") == F.col("_k"), "left_anti")
-    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(k).orderBy(F.col(t).asc_nulls_last()))).where(f"_n = 1 or {k} is null").drop("_n")
-    return settled.unionByName(kept).toDF(*names)
-
-
-def _split(df: DataFrame, at: int, bloom: Bloom | None, held: bool) -> DataFrame:
-    """The rows of df whose id, in column ``at``, the filter may hold, or the others; without a filter it may hold all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            may = np.ones(batch.num_rows, bool) if bloom is None else bloom.may_hold(batch.column(at).cast(pa.int64()))
-            yield batch.filter(pa.array(may == held))
-
-    return df.transform(mapped, run, df.schema)
+    open_, settled = split(inner, F.col(k), build(special.select("_k")))
+    first = Window.partitionBy(k).orderBy(F.col(t).asc_nulls_last())
+    kept = open_.where(F.col(k).isNotNull()).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    kept = kept.join(special.where("_gone").select("_k"), F.col(k) == F.col("_k"), "left_anti")
+    return settled.unionByName(kept).unionByName(open_.where(F.col(k).isNull())).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
