@@ -6,7 +6,8 @@ source are put in a pseudo-random order; expected copies are summed up along it,
 is added per source, and a document is emitted once per integer boundary that the sum crosses at it.
 So every document is emitted floor(rate) or ceil(rate) times and a source is off by less than one.
 
-Sums are exact integers in units of 2^-32 copies, so they do not depend on the order of addition.
+Sums are exact integers of up to 38 digits in units of 2^-32 copies, so they do not depend on the order of addition
+and hold 10^18 copies of each of 10^10 documents.
 A running sum over a hot source is made in two levels: a source is cut along the order into blocks,
 whose number follows its size; block totals are summed up first, then rows within each block.
 
@@ -28,6 +29,9 @@ from quadloom.llm.storage import numbered, written
 SEED = 20_240_601
 BLOCK_ROWS = 1 << 14
 UNIT = 1 << 32
+EXACT = "decimal(38,0)"
+#: Copies of a row that one array of copy numbers holds.
+RUN = 1 << 16
 
 
 def _hash32(*parts) -> F.Column:
@@ -50,16 +54,13 @@ def source_rates(df: DataFrame, text: str = "text", source: str = "source", weig
     goal = F.lit(float(total)) if total is not None else F.col("total")
     rate = F.when((F.col("size") > 0) & (F.col("weights") > 0), F.col("weight") / F.col("weights") * goal / F.col("size").cast("double")).otherwise(0.0)
     bits = F.when(F.col("n") > BLOCK_ROWS, F.least(F.lit(31), F.ceil(F.log2(F.col("n") / BLOCK_ROWS)).cast("int"))).otherwise(0)
-    step = F.floor(rate * float(UNIT)).cast("long")
-    return sizes.crossJoin(F.broadcast(sums)).select("_source", step.alias("step"), _hash32(F.lit(str(SEED)), F.coalesce(F.col("_source").cast("string"), F.lit("\0"))).alias("offset"), bits.alias("bits"))
+    # Whole copies and the fraction apart: a double holds both only up to 2^21 copies.
+    step = F.floor(F.col("rate")).cast("decimal(19,0)") * UNIT + F.floor((F.col("rate") - F.floor(F.col("rate"))) * float(UNIT)).cast("decimal(10,0)")
+    return sizes.crossJoin(F.broadcast(sums)).withColumn("rate", rate).select("_source", step.cast(EXACT).alias("step"), _hash32(F.lit(str(SEED)), F.coalesce(F.col("_source").cast("string"), F.lit("\0"))).alias("offset"), bits.alias("bits"))
 
 
-def sample(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Mapping[str, float] | None = None, total: float | None = None, carry_text: bool = True) -> DataFrame:
-    """df's rows, each as often as it is drawn, with copy_no from 1; without text where carry_text is false.
-
-    A column copy_no of df gives way to the new one; others may have any name.
-    """
-    df = df.drop("copy_no")
+def draws(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Mapping[str, float] | None = None, total: float | None = None, carry_text: bool = True) -> tuple[DataFrame, list[str]]:
+    """(the rows of df that are drawn, columns numbered c0, c1, ..., with _n, how often each; names of the numbered columns)."""
     rates = written(source_rates(df, text, source, weights, total), "rates")
     at = {c: f"c{i}" for i, c in enumerate(df.columns)}
     names = [c for c in df.columns if carry_text or c != text]
@@ -74,15 +75,26 @@ def sample(df: DataFrame, text: str = "text", key: str = "doc_id", source: str =
         return x.join(rates, x[source].eqNullSafe(rates["_source"])).withColumn("_block", block)
 
     light = placed(df.select(source, _hash32(F.lit(str(SEED)), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_h")))
-    blocks = light.groupBy("_source", "_block").agg(F.sum("step").alias("_sum"))
+    blocks = light.groupBy("_source", "_block").agg(F.sum("step").cast(EXACT).alias("_sum"))
     before = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("_source").alias("_bs"), F.col("_block").alias("_bb"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    blocks = blocks.select(F.col("_source").alias("_bs"), F.col("_block").alias("_bb"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast(EXACT).alias("_before"))
     within = Window.partitionBy("_source", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = placed(rows)
     joined = joined.join(blocks, joined["_source"].eqNullSafe(blocks["_bs"]) & (joined["_block"] == blocks["_bb"]))
-    end = F.col("_before") + F.sum("step").over(within) + F.col("offset")
-    drawn = joined.withColumn("_end", end).withColumn("_n", F.expr(f"cast(_end div {UNIT} - (_end - step) div {UNIT} as int)")).where("_n > 0")
-    return drawn.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no")).toDF(*names, "copy_no")
+    end = (F.col("_before") + F.sum("step").over(within) + F.col("offset")).cast(EXACT)
+    drawn = joined.withColumn("_end", end).withColumn("_n", F.expr(f"_end div {UNIT} - (_end - step) div {UNIT}")).where("_n > 0")
+    return drawn.select(*columns, "_n"), names
+
+
+def sample(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Mapping[str, float] | None = None, total: float | None = None, carry_text: bool = True) -> DataFrame:
+    """df's rows, each as often as it is drawn, with copy_no from 1; without text where carry_text is false.
+
+    A column copy_no of df gives way to the new one; others may have any name.
+    """
+    drawn, names = draws(df.drop("copy_no"), text, key, source, weights, total, carry_text)
+    # No array grows with the number of copies: runs first, then the copies of each.
+    runs = drawn.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_n - 1) div {RUN})")))
+    return runs.select(*drawn.columns[:-1], F.explode(F.expr(f"sequence(_run * {RUN} + 1, least(_n, (_run + 1) * {RUN}))")).alias("copy_no")).toDF(*names, "copy_no")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -94,11 +106,12 @@ SQL = f"""
 WITH sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source),
 sums AS (SELECT CAST(sum(size) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS weights FROM sizes),
 rates AS (
-  SELECT source, CASE WHEN size > 0 THEN CAST(floor(CAST(1.0 AS DOUBLE) / weights * total / CAST(size AS DOUBLE) * CAST({UNIT} AS DOUBLE)) AS BIGINT) ELSE 0 END AS step,
+  SELECT source, CASE WHEN size > 0 THEN CAST(1.0 AS DOUBLE) / weights * total / CAST(size AS DOUBLE) ELSE 0 END AS rate,
     CAST('0x' || substr(md5('{SEED}|' || coalesce(source, chr(0))), 1, 8) AS BIGINT) AS off
   FROM sizes, sums),
+steps AS (SELECT source, off, CAST(floor(rate) AS HUGEINT) * {UNIT} + CAST(floor((rate - floor(rate)) * CAST({UNIT} AS DOUBLE)) AS HUGEINT) AS step FROM rates),
 run AS (
   SELECT doc_id, source, step, sum(step) OVER (PARTITION BY source ORDER BY substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8), doc_id, md5(coalesce(text, '')) ROWS UNBOUNDED PRECEDING) + off AS reach
-  FROM documents JOIN rates USING (source)),
-drawn AS (SELECT doc_id, source, CAST(reach // {UNIT} - (reach - step) // {UNIT} AS INTEGER) AS n FROM run)
-SELECT doc_id, source, unnest(generate_series(1, n))::INTEGER AS copy_no FROM drawn WHERE n > 0"""
+  FROM documents JOIN steps USING (source)),
+drawn AS (SELECT doc_id, source, CAST(reach // {UNIT} - (reach - step) // {UNIT} AS BIGINT) AS n FROM run)
+SELECT doc_id, source, unnest(generate_series(1, n)) AS copy_no FROM drawn WHERE n > 0"""
