@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_near_dedup": embeddings.SQL,
+    "op3_warc_normaliser": warc.SQL,
     "op4_license_containment": licenses.SQL,
     "op6_secret_ownership": secrets.SQL,
     "op7_topk_search": topk.SQL,
