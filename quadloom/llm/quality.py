@@ -4,15 +4,17 @@ A logistic model on a few surface features gives each document its own probabili
 is trained on a bounded sample of the labelled rows. Those probabilities are then averaged, over all
 documents, by host and by path, and pulled toward what lies above: a host toward the corpus, a path
 toward its host, the more the fewer documents they have. How strongly is estimated from the data, by
-the method of moments, at each level. The site's log odds, relative to the corpus and without the
-document's own part, are added to the document's.
+the method of moments, at each level. The log odds of a document's path, relative to the corpus, are added to the
+document's own. They are taken without the document, in its path as in its host: a site says nothing of a
+document that it has from that document alone.
 
 A host is a ``source`` and a path is a source's documents in one language, unless ``host`` and
-``path`` are given.
+``path`` are given; url_host() and url_path() take both from URLs.
 
-Nulls: a null or empty text has features 0. A null host or path is a site of its own. Repeated rows
-each count. Without labels of both kinds every document's own probability is 0.5. An empty table gives
-an empty result. Texts are read whole, however long.
+Ids may be of any type that has an order. Nulls: a null or empty text has features 0. A null host or path is a site of its
+own. Repeated rows each count; of several labelled texts of one id the model is fitted on the one of the smallest features.
+Without labels of both kinds every document's own probability is 0.5. An empty table gives
+an empty result. Texts are read whole, however long. Other columns, of any name, are not touched.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm.arrowtext import distinct_in_rows, mapped, raw, span_hash, word_slices
+from quadloom.llm.skew import lookup
 from quadloom.llm.storage import written
-from quadloom.llm.toxicity import label_of, labelled_sample
+from quadloom.llm.toxicity import labelled_sample, labelled_texts
 
 LABELLED = 50_000
 THRESHOLD = 0.5
@@ -93,13 +96,12 @@ def fit(source: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lab = label_of(batch.column("key"), ids, y)
-            at = pa.array(np.flatnonzero(lab >= 0))
-            part = batch.take(at)
-            x = features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(lab[lab >= 0].astype(np.int32)), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=["key", "y", *FEATURES])
+            x = features(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=["key", "y", *FEATURES])
 
-    got = source.transform(mapped, run, "key long, y int, " + ", ".join(f"{f} double" for f in FEATURES)).dropDuplicates(["key"]).orderBy("key").toArrow()
+    labelled = labelled_texts(source, ids, y)
+    seen = labelled.transform(mapped, run, f"key {source.schema['key'].dataType.simpleString()}, y int, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = seen.groupBy("key").agg(F.min(F.struct("y", *FEATURES)).alias("x")).orderBy("key").select("x.*").toArrow()
     target = got["y"].to_numpy().astype(np.float64)
     if len(np.unique(target)) < 2:
         return None
@@ -150,32 +152,44 @@ def _strength(table: DataFrame, above: str) -> DataFrame:
     return t.select(F.coalesce(F.least(F.lit(1e6), F.greatest(F.lit(1.0), noise / F.greatest(between, F.lit(1e-9)))), F.lit(1e6)).alias("kappa"))
 
 
+def url_host(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port and leading www; null where there is none."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+
+
+def url_path(url: Column) -> Column:
+    """The first folder of a URL's path, "/" where there is none."""
+    return F.concat(F.lit("/"), F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"^/([^/]+)/", 1))
+
+
 def posteriors(documents: DataFrame) -> DataFrame:
-    """host, path, path_n, path_mean (shrunk), path_k, host_mean (shrunk), corpus: a row per path; documents: host, path, p."""
+    """A row per path of documents(host, path, p): host, path, n and s (how many, sum of p), kappa, host_n, host_s, host_kappa, host_mean, corpus."""
     paths = written(documents.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     corpus = F.broadcast(paths.agg((F.sum("s") / F.sum("n")).alias("corpus")))
     shape = lambda t: t.withColumn("mean", F.col("s") / F.col("n")).withColumn("within", F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("n")))
     hosts = shape(hosts).crossJoin(corpus)
     hosts = hosts.crossJoin(F.broadcast(_strength(hosts, "corpus")))
-    hosts = hosts.select(F.col("host").alias("h"), "corpus", ((F.col("s") + F.col("kappa") * F.col("corpus")) / (F.col("n") + F.col("kappa"))).alias("host_mean"))
-    paths = shape(paths).join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    paths = written(paths.drop("h"), "sites")
-    return paths.crossJoin(F.broadcast(_strength(paths, "host_mean"))).select("host", "path", F.col("n").alias("path_n"), F.col("s").alias("path_sum"), "kappa", "host_mean", "corpus")
+    hosts = hosts.select(F.col("host").alias("h"), "corpus", F.col("n").alias("host_n"), F.col("s").alias("host_s"), F.col("kappa").alias("host_kappa"), ((F.col("s") + F.col("kappa") * F.col("corpus")) / (F.col("n") + F.col("kappa"))).alias("host_mean"))
+    paths = written(shape(paths).join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "sites")
+    return paths.crossJoin(F.broadcast(_strength(paths, "host_mean"))).select("host", "path", "n", "s", "kappa", "host_n", "host_s", "host_kappa", "host_mean", "corpus")
 
 
 def classify(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """key, p_document, p_host, p_path, p_good, keep for every row of df."""
-    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    """key, p_document, p_host, p_path, p_good, keep for every row of df; p_host and p_path are the sites' posterior means over all their documents."""
+    source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     documents = written(evidence(df, fit(source, labels), text, key, host, path), "evidence")
-    sites = written(posteriors(documents), "posteriors").withColumnsRenamed({"host": "h", "path": "l"})
-    joined = documents.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("l")))
-    others = (F.col("path_sum") - F.col("p") + F.col("kappa") * F.col("host_mean")) / (F.col("path_n") - 1 + F.col("kappa"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    sites = posteriors(documents).select(named(F.col("host")).alias("h"), named(F.col("path")).alias("l"), "n", "s", "kappa", "host_n", "host_s", "host_kappa", "host_mean", "corpus")
+    joined = lookup(documents.select("key", "p", named(F.col("host")).alias("h"), named(F.col("path")).alias("l")), written(sites, "posteriors"), ["h", "l"], "n")
+    p, corpus = F.col("p"), F.col("corpus")
+    shrunk = lambda s, n, kappa, above: (s + kappa * above) / (n + kappa)
+    host_others = shrunk(F.col("host_s") - p, F.col("host_n") - 1, F.col("host_kappa"), corpus)
+    others = shrunk(F.col("s") - p, F.col("n") - 1, F.col("kappa"), host_others)
     logit = lambda c: F.log(c / (1 - c))
     safe = lambda c: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), c))
-    total = logit(F.col("p")) + logit(safe(others)) - logit(safe(F.col("corpus")))
-    good = 1 / (1 + F.exp(-total))
-    return joined.select(F.col("key").alias(key), F.col("p").alias("p_document"), F.col("host_mean").alias("p_host"), others.alias("p_path"), good.alias("p_good"), (good >= threshold).alias("keep"))
+    good = 1 / (1 + F.exp(-(logit(p) + logit(safe(others)) - logit(safe(corpus)))))
+    return joined.select(F.col("key").alias(key), p.alias("p_document"), F.col("host_mean").alias("p_host"), shrunk(F.col("s"), F.col("n"), F.col("kappa"), F.col("host_mean")).alias("p_path"), good.alias("p_good"), (good >= threshold).alias("keep"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@
 All counts are made over all whole documents. Only the labelled sample is bounded (``LABELLED``), by
 a hash of the id, so that it is the same in every run.
 
-Nulls: a null or empty text scores 0 and is not toxic. A null id or label is not used for training.
+Ids may be of any type that has an order. Nulls: a null or empty text scores 0 and is not toxic. A null id or label is not used for training.
 Repeated rows each count. Without labels, or where no word is a seed, the lexicon is empty and nothing
 is toxic. Very long texts score as any other: the sum runs over distinct words. Ties among thresholds
 go to the higher one. Columns of df other than key and text are not touched.
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,25 +49,12 @@ STEPS = 50
 LEAST_WEIGHT = 0.05
 
 
-def labelled_sample(labels: DataFrame, label: str, key: str = "doc_id", most: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted ids, labels) of at most ``most`` labelled rows, those with the smallest hashes of the id."""
-    rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y"))
-    got = rows.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most).toArrow()
-    k, y = got["k"].to_numpy(), got["y"].to_numpy()
-    order = np.argsort(k)
-    return k[order], y[order]
-
-
-def label_of(keys: pa.Array, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Label of each key, -1 where there is none."""
-    out = np.full(len(keys), -1, dtype=np.int64)
-    if not len(ids):
-        return out
-    k = pa.compute.fill_null(keys, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.minimum(np.searchsorted(ids, k), len(ids) - 1)
-    hit = (ids[at] == k) & ~np.asarray(keys.is_null())
-    out[hit] = y[at[hit]]
-    return out
+def labelled_sample(labels: DataFrame, label: str, key: str = "doc_id", most: int = LABELLED) -> tuple[pa.Array, np.ndarray]:
+    """(ids in order, labels) of at most ``most`` labelled rows, those with the smallest hashes of the id; an id that is labelled both ways counts as 1."""
+    rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    chosen = rows.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
+    got = chosen.orderBy("k").toArrow()
+    return got["k"].combine_chunks(), got["y"].to_numpy()
 
 
 def _word_sets(column: pa.Array, vocabulary: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -110,21 +98,21 @@ def word_counts(source: DataFrame) -> DataFrame:
     return source.select("text").transform(mapped, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def labelled_texts(source: DataFrame, ids: np.ndarray, y: np.ndarray) -> DataFrame:
-    """text, y of the labelled sample's documents; the sample is bounded, so it can be broadcast."""
-    sample = source.sparkSession.createDataFrame(pa.table({"key": pa.array(ids, pa.int64()), "y": pa.array(y, pa.int32())}))
-    return source.join(F.broadcast(sample), "key").select("text", "y")
+def labelled_texts(source: DataFrame, ids: pa.Array, y: np.ndarray) -> DataFrame:
+    """key, text, y of the labelled sample's documents; the sample is bounded, so it can be broadcast."""
+    sample = source.sparkSession.createDataFrame(pa.table({"key": ids, "y": pa.array(y, pa.int32())}))
+    return source.join(F.broadcast(sample), "key").select("key", "text", "y")
 
 
-def independent(source: DataFrame, ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def independent(source: DataFrame, ids: pa.Array, y: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The labelled sample with one of each set of near-copies, the one of the smallest id.
 
     A document that was copied and labelled many times says no more about its words than once. Copies are
     those that share a MinHash table key; the sample's bound keeps this small enough for the driver.
     """
-    labelled = source.join(F.broadcast(source.sparkSession.createDataFrame(pa.table({"key": pa.array(ids, pa.int64())}))), "key")
+    labelled = labelled_texts(source, ids, y)
     got = signatures(labelled.select(F.col("key").alias("doc"), "text")).groupBy("doc").agg(F.min("keys").alias("keys")).orderBy("doc").toArrow()
-    doc = got["doc"].to_numpy()
+    doc = got["doc"].combine_chunks()
     if not len(doc):
         return ids[:0], y[:0]
     keys = np.asarray(got["keys"].combine_chunks().flatten()).view(np.uint64).reshape(len(doc), -1)
@@ -144,8 +132,8 @@ def independent(source: DataFrame, ids: np.ndarray, y: np.ndarray) -> tuple[np.n
                     group = group[group]
         if (group == before).all():
             break
-    kept = doc[group == np.arange(len(doc))]
-    return kept, y[np.searchsorted(ids, kept)]
+    kept = doc.take(pa.array(np.flatnonzero(group == np.arange(len(doc)))))
+    return kept, y[pc.index_in(kept.cast(ids.type), ids).to_numpy(zero_copy_only=False)]
 
 
 def evidence(labelled: DataFrame) -> DataFrame:
@@ -276,7 +264,7 @@ def walk(a: np.ndarray, b: np.ndarray, weight: np.ndarray, bad: np.ndarray, good
     return p
 
 
-def induce(source: DataFrame, ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def induce(source: DataFrame, ids: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted word hashes, weights) of the lexicon; source: key, text."""
     empty = np.zeros(0, np.uint64), np.zeros(0)
     if not (y == 1).any():
@@ -338,7 +326,7 @@ def _scored(source: DataFrame, lexicon: np.ndarray, weights: np.ndarray, columns
     return source.transform(mapped, run, schema)
 
 
-def calibrate(source: DataFrame, ids: np.ndarray, y: np.ndarray, lexicon: np.ndarray, weights: np.ndarray) -> float:
+def calibrate(source: DataFrame, ids: pa.Array, y: np.ndarray, lexicon: np.ndarray, weights: np.ndarray) -> float:
     """Threshold of the best F1 on the labelled sample; infinite where nothing can be told."""
     if not len(lexicon) or not (y == 1).any():
         return float("inf")
@@ -360,7 +348,7 @@ def calibrate(source: DataFrame, ids: np.ndarray, y: np.ndarray, lexicon: np.nda
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """(word hashes, weights, threshold)."""
-    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     ids, y = labelled_sample(labels, label)
     if len(ids):
         ids, y = independent(source, ids, y)
