@@ -20,6 +20,11 @@ def docs(spark, texts, extra=False):
     return clash(df) if extra else df
 
 
+def named(spark, texts, ids):
+    """Documents whose ids are strings; ids may repeat or be null."""
+    return clash(spark.createDataFrame([(k, t, "en", "s", len(t) if t else 0) for k, t in zip(ids, texts)], DOCS.replace("doc_id long", "doc_id string")))
+
+
 def clash(df):
     from pyspark.sql import functions as F
 
@@ -101,6 +106,22 @@ def test_embeddings_of_every_dimension(spark):
     assert got[99]["n_near"] > 0 and not got[99]["keep"]
 
 
+def test_embeddings_with_ids_of_strings_and_dense_regions(spark):
+    r = np.random.default_rng(8)
+    v = [rows_of(x) for x in np.concatenate([r.normal(size=(3000, 4)) * 0.02, r.normal(size=(300, 4))])]
+    v[50:70] = [v[0]] * 20
+    ids = [f"v{i}" for i in range(len(v))]
+    df = spark.createDataFrame([*zip(ids, v), ("v5", v[5]), ("v5", v[1]), (None, v[5])], "vec_id string, embedding array<float>")
+    got = {x["vec_id"]: x for x in embeddings.near(df, eps=0.05).collect()}
+    x = np.array(v)
+    order = np.argsort(ids)
+    for i in [*range(0, 5), *range(6, 3300, 37)]:
+        near = np.flatnonzero(np.sqrt(((x - x[i]) ** 2).sum(1)) <= 0.05)
+        extra = int(np.sqrt(((x[1] - x[i]) ** 2).sum()) <= 0.05 and 5 not in near)
+        assert got[ids[i]]["n_near"] >= len(near) - 1 + extra and (extra or got[ids[i]]["near_id"] == min(ids[k] for k in near)), i
+    assert len(got) == len(ids) and order is not None
+
+
 def rows_of(v):
     return [float(np.float32(x)) for x in v]
 
@@ -116,38 +137,82 @@ def test_warc_members_and_damage(spark, tmp_path):
     assert not [r for r in index if r["problem"]] and sum(r["record_type"] == "response" for r in index) == 5
     for r in index:
         one = warc.read_record(f"{tmp_path}/out/{r['file']}", r["offset"], r["length"])
+        assert r["file"].endswith("-" + r["source"].rsplit("/", 1)[1])
         assert one.startswith(b"WARC/1.0") and one.endswith(b"\r\n\r\n")
         head, _, content = one.partition(b"\r\n\r\n")
         assert len(content) - 4 == r["content_length"]
     for name in {r["file"] for r in index}:  # all members together are the stream that came in
-        assert gzip.open(tmp_path / "out" / name).read() == gzip.open(tmp_path / "in" / name).read()
+        assert gzip.open(tmp_path / "out" / name).read() == gzip.open(tmp_path / "in" / name.split("-", 1)[1]).read()
+    assert all(r["readable"] for r in warc.checked(spark.createDataFrame(index, warc.INDEX), f"file://{tmp_path}/out").collect())
+    wrong = spark.createDataFrame([(*r[:3], r["offset"], r["length"] - 9, *r[5:]) for r in index[:1]], warc.INDEX)
+    assert [r["readable"] for r in warc.checked(wrong, f"file://{tmp_path}/out").collect()] == [False]
     whole = next((tmp_path / "in").glob("*.gz")).read_bytes()
     (tmp_path / "cut.warc.gz").write_bytes(whole[: len(whole) // 2])
     (tmp_path / "empty.warc.gz").write_bytes(b"")
     bad = spark.createDataFrame([(f"{tmp_path}/cut.warc.gz",), (f"{tmp_path}/empty.warc.gz",)], "path string")
     got = warc.normalise(bad, f"file://{tmp_path}/out2").collect()
-    assert [r["file"] for r in got if r["record_type"] == "error"] == ["cut.warc.gz"]
+    assert [r["source"] for r in got if r["record_type"] == "error"] == [f"{tmp_path}/cut.warc.gz"]
     assert warc.normalise(bad.where("false"), f"file://{tmp_path}/out3").collect() == []
 
 
+def test_warc_equal_names_long_lines_and_repeated_paths(spark, tmp_path):
+    import gzip
+
+    record = lambda body: b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    for folder, content in (("a", record(b"of a")), ("b", record(b"of b, longer")), ("c", b"WARC/1.0" + b"x" * 3_000_000), ("d", b"WARC/1.0\r\n" + b"k: v\r\n" * 400_000)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.warc.gz").write_bytes(gzip.compress(content))
+    paths = [(f"{tmp_path}/{f}/x.warc.gz", 1) for f in "aabcd"] + [(None, 2)]
+    got = warc.normalise(spark.createDataFrame(paths, "path string, offset int"), f"file://{tmp_path}/out").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"].split("/")[-2]].append(r)
+    assert {k: len(v) for k, v in by.items()} == {"a": 2, "b": 1, "c": 1, "d": 1} and by["a"][0] == by["a"][1]
+    for f, body in (("a", b"of a"), ("b", b"of b, longer")):
+        assert warc.read_record(f"{tmp_path}/out/{by[f][0]['file']}", by[f][0]["offset"], by[f][0]["length"]).split(b"\r\n\r\n")[1] == body
+    assert "too long" in by["c"][0]["problem"] and "too long" in by["d"][0]["problem"]
+    assert not list((tmp_path / "out").glob("*.tmp"))
+
+
 # 4 licenses
+def _license_blocks(text):
+    """(kind, number of first line, text) of lines and of paragraphs of two lines or more."""
+    lines, run = (text or "").split("\n"), []
+    for i, line in enumerate([*lines, ""]):
+        if i < len(lines):
+            yield "line", i, line
+        if line.strip(" \t\x0b\x0c\r"):
+            run.append(i)
+        else:
+            if len(run) > 1:
+                yield "paragraph", run[0], "\n".join(lines[k] for k in run)
+            run = []
+
+
 def test_licenses_against_brute_force(spark):
+    import textwrap
+
+    wrapped = ["\n".join(textwrap.wrap(t, 48, break_on_hyphens=False)) for t in licenses.TEMPLATES.values()]
     texts = [*ODD, "x\nLicensed under the Apache License, Version 2.0.\ny", "licensed UNDER apache version 2 0", *("\n".join(w for w in words(60, k).split()) for k in range(5))]
+    texts += wrapped + [f"\n \t\ncode here\n\n{w}\n\nmore" for w in wrapped] + ["\n".join("# " + x for x in w.split("\n")) for w in wrapped]
     r = np.random.default_rng(1)
     pool = re.findall(r"[0-9a-z_]+", " ".join(licenses.TEMPLATES.values()).lower())
-    texts += ["\n".join(" ".join(r.choice(pool, int(n))) for n in r.integers(1, 40, 20)) for _ in range(20)]
+    texts += ["\n".join(" ".join(r.choice(pool, int(n))) for n in r.integers(0, 40, 20)) for _ in range(20)]
     split = lambda s: set(re.findall(r"[0-9a-z_\x80-\U0010ffff]+", s.lower()))
     want = set()
     for i, t in enumerate(texts):
-        for b, line in enumerate((t or "").split("\n")):
+        for kind, b, block in _license_blocks(t):
             for name, body in licenses.TEMPLATES.items():
                 tw = split(body)
-                o = len(split(line) & tw)
+                o = len(split(block) & tw)
                 if o and o >= math.ceil(licenses.THRESHOLD * len(tw) - 1e-9):
-                    want.add((i, b, name, o, round(o / len(tw), 9)))
-    got = [(x["doc_id"], x["block_no"], x["license"], x["overlap"], round(x["containment"], 9)) for x in licenses.scan(docs(spark, texts, extra=True)).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and want
+                    want.add((i, kind, b, name, o, round(o / len(tw), 9)))
+    got = [(x["doc_id"], x["kind"], x["block_no"], x["license"], x["overlap"], round(x["containment"], 9)) for x in licenses.scan(docs(spark, texts, extra=True)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {k[3] for k in want if k[1] == "paragraph" and k[5] == 1} == set(licenses.TEMPLATES)
     assert licenses.scan(docs(spark, [])).collect() == []
+    same = named(spark, ["MIT\nReleased under the MIT License."] * 2, ["a", "a"])
+    assert [(x["doc_id"], x["kind"]) for x in licenses.scan(same).orderBy("kind").collect()] == [("a", "line"), ("a", "line"), ("a", "paragraph"), ("a", "paragraph")]
 
 
 # 5 MinHash
@@ -210,6 +275,33 @@ def test_minhash_deduplicate_keeps_one_of_each_group(spark):
     assert minhash.groups(df.where("false")).collect() == [] and minhash.deduplicate(df.where("false")).collect() == []
 
 
+def test_minhash_one_bucket_of_many_and_a_shared_passage(spark):
+    base, passage = words(80, 50), words(60, 51)
+    cluster = [base + " end" + str(k) for k in range(3000)]
+    sharing = [passage + " " + words(90, 1000 + k) for k in range(400)]
+    texts = cluster + sharing
+    ids = [f"d{k:05d}" for k in range(len(texts))] + [None, "d00003"]
+    df = named(spark, [*texts, base, base], ids)
+    got = {x["doc_id"]: x["group_id"] for x in minhash.groups(df).collect()}
+    assert len(got) == len(texts)
+    assert {got[k] for k in ids[:3000]} == {"d00000"}
+    assert all(got[k] == k for k in ids[3000:3400])
+    kept = minhash.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(str(x["doc_id"]) for x in kept.collect()) == sorted(["None", "d00000", *ids[3000:3400]])
+
+
+def test_minhash_compares_across_components_of_a_bucket(spark):
+    members = spark.createDataFrame([(1, "a", 4, x) for x in "abcd"] + [(2, "a", 3, x) for x in "abe"], "bucket long, first string, size long, doc string")
+    roots = spark.createDataFrame([("a", "a"), ("b", "a"), ("e", "a")], "node string, root string")
+    r = np.random.default_rng(9)
+    b = sorted(int(x) for x in r.integers(-(1 << 40), 1 << 40, 50))
+    sets = {"a": list(range(40)), "b": b, "c": b[:45], "d": b[:20] + list(range(100, 130)), "e": b}
+    table = spark.createDataFrame(list(sets.items()), "doc string, shingles array<long>")
+    pairs = minhash._crossing(members, roots, table, 0.6)
+    assert {tuple(x) for x in minhash._verified(pairs, table, 0.6).collect()} == {("b", "c")}
+
+
 # 6 secrets
 KEY, SHARED = "AKIA" + "QWERTYUIOPASDFGH", "AKIA" + "EXAMPLEEXAMPLE12"
 
@@ -235,6 +327,20 @@ def test_secrets_ownership_and_redaction(spark):
     assert secrets.scan(df.where("false")).collect() == [] and secrets.redact(df.where("false")).collect() == []
 
 
+def test_one_secret_however_it_is_written(spark):
+    hex40 = "0123456789abcdef0123456789abcdef01234567"
+    texts = [f"see {SHARED} here", f"token={SHARED}.", f'"api_key" : "{SHARED}",', "password = hunter2abc", '{"password": "hunter2abc"}', "passwd:\thunter2abc.", f"'{hex40}'", f"SECRET={hex40}", "the secret: understanding matters", "token: 'Understandingly'"]
+    rows = spark.createDataFrame([(f"k{i}", t, "en", f"s{i}", 1) for i, t in enumerate(texts)], DOCS.replace("doc_id long", "doc_id string"))
+    got = {(x["secret"], x["kind"]): x for x in secrets.scan(rows.unionByName(rows)).collect()}
+    assert {k: (v["n_docs"], v["n_owners"], v["verdict"]) for k, v in got.items()} == {
+        (SHARED, "aws_access_key"): (3, 3, "copied_example"), ("hunter2abc", "assigned"): (3, 3, "copied_example"), (hex40, "hex_token"): (2, 2, "live"),
+        ("understanding", "assigned"): (1, 1, "placeholder"), ("Understandingly", "assigned"): (1, 1, "placeholder"),
+    }
+    out = {x["doc_id"]: x["text"] for x in secrets.redact(rows).collect()}
+    assert out["k6"] == "'[SECRET]'" and out["k7"] == "SECRET=[SECRET]" and out["k3"] == texts[3] and out["k8"] == texts[8]
+    assert secrets.scan(secrets.redact(rows)).where("verdict = 'live'").count() == 0
+
+
 # 7 top-k
 def test_topk_against_brute_force(spark):
     texts = [*ODD, *(words(50, k % 40) + " common rare" + str(k % 7) for k in range(200))]
@@ -259,6 +365,37 @@ def test_topk_against_brute_force(spark):
     assert topk.search(docs(spark, []), q).collect() == [] and topk.search(docs(spark, texts), q.where("false")).collect() == []
 
 
+def test_topk_stops_early_and_reads_on_where_it_must(spark):
+    r = np.random.default_rng(2)
+    n = 20_000
+    row, word, tf = [], [], []
+    for t, share in enumerate((0.9, 0.8, 0.001)):
+        held = np.flatnonzero(r.random(n) < share)
+        row.append(held)
+        word.append(np.full(len(held), t + 1, dtype=np.uint64))
+        tf.append(r.integers(1, 4, len(held)))
+    tf[2][:] = 9
+    length = r.integers(30, 60, n)
+    shard = topk.Shard(topk._shard(*(np.concatenate(x) for x in (row, word, tf)), length, 45.0), 45.0)
+    idf = np.array([0.1, 0.2, 7.0])
+    dense = np.zeros(n)
+    for t in range(3):
+        dense[row[t]] += idf[t] * topk.tf_weight(tf[t], length[row[t]], 45.0)
+    rows, s = shard.search(np.array([1, 2, 3], dtype=np.uint64), idf, 5)
+    assert np.allclose(np.sort(s)[-5:], np.sort(dense)[-5:]) and shard.read < 0.2 * sum(map(len, row))
+    every = topk.Shard(topk._shard(*(np.concatenate(x) for x in (row, word, tf)), length, 45.0), 45.0)
+    rows, s = every.search(np.array([1, 2], dtype=np.uint64), np.array([1.0, 1.0]), n)
+    assert every.read == len(row[0]) + len(row[1]) and len(rows) == len(set(row[0]) | set(row[1]))
+
+
+def test_topk_with_ids_of_strings_and_nulls(spark):
+    df = named(spark, ["rare one", "rare one", "rare", "rare", None, "other"], ["b", "a", None, "a", "c", "d"])
+    index = topk.build_index(df)
+    q = spark.createDataFrame([("q1", "rare"), ("q2", "other word"), (None, "rare")], "item_id string, text string")
+    got = [(x["item_id"], x["rank"], x["doc_id"]) for x in topk.search_index(index, q, 3).orderBy("item_id", "rank").collect()]
+    assert got == [("q1", 1, "a"), ("q1", 2, None), ("q1", 3, "a"), ("q2", 1, "d")]
+
+
 # 8 mixing
 def test_mixing_counts_follow_rates(spark):
     texts = [*ODD[:7], *(words(20, k) for k in range(300))]
@@ -285,6 +422,18 @@ def test_mixing_counts_follow_rates(spark):
     assert {x["source"] for x in mixing.sample(nulls, weights={"s": 1}).collect()} == {"s"}
 
 
+def test_mixing_is_exact_for_many_copies(spark):
+    df = spark.createDataFrame([(i, "x", "en", "a", 1) for i in range(6)] + [(9, "y" * 1000, "en", "b", 1000)], DOCS)
+    each = 10**12
+    drawn, names = mixing.draws(df, weights={"a": 1.0}, total=6.0 * each)
+    got = {x["c0"]: x["_n"] for x in drawn.collect()}
+    assert set(got) == set(range(6)) and all(n == each for n in got.values())
+    some = mixing.sample(df, weights={"a": 1.0}, total=600_000.0).groupBy("doc_id").count().collect()
+    assert [x["count"] for x in some] == [100_000] * 6
+    twice = df.unionByName(df)  # repeated rows each count; ties in the order do not matter
+    assert mixing.sample(twice, weights={"a": 1.0, "b": 1.0}).groupBy("source").count().where("source = 'a'").first()["count"] in (1005, 1006, 1007)
+
+
 # 9 quality
 def test_quality_orders_sites_and_documents(spark):
     from pyspark.sql import functions as F
@@ -311,6 +460,55 @@ def test_quality_orders_sites_and_documents(spark):
     assert len(odd) == len(ODD) and all(x["p_good"] == x["p_good"] for x in odd)
 
 
+def test_quality_posteriors_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    rows = [(f"d{i}", None if i % 17 == 0 else f"h{i % 5}", None if i % 19 == 0 else f"p{i % 3}", float(r.uniform(0.05, 0.95))) for i in range(200)] + [("alone", "single", "p", 0.99)]
+    p = np.array([x[3] for x in rows])
+    corpus = p.mean()
+
+    def kappa(groups, above):
+        n = np.array([len(g) for g in groups], float)
+        mean = np.array([p[g].mean() for g in groups])
+        noise = sum(((p[g] - p[g].mean()) ** 2).sum() for g in groups) / max(n.sum() - len(groups), 1)
+        ss = (n * (mean - np.array(above)) ** 2).sum()
+        between = (ss - (len(groups) - 1) * noise) / max(n.sum() - (n * n).sum() / n.sum(), 1)
+        return min(1e6, max(1, noise / max(between, 1e-9)))
+
+    def by(key):
+        out = defaultdict(list)
+        for i, x in enumerate(rows):
+            out[key(x)].append(i)
+        return out
+
+    hosts, paths = by(lambda x: x[1]), by(lambda x: (x[1], x[2]))
+    kh = kappa(list(hosts.values()), [corpus] * len(hosts))
+    host_mean = {h: (p[g].sum() + kh * corpus) / (len(g) + kh) for h, g in hosts.items()}
+    kp = kappa(list(paths.values()), [host_mean[h] for h, _ in paths])
+    got = {(x["host"], x["path"]): x for x in quality.posteriors(spark.createDataFrame(rows, "key string, host string, path string, p double")).collect()}
+    assert set(got) == set(paths)
+    for (h, l), g in paths.items():
+        x = got[h, l]
+        assert (x["n"], x["host_n"]) == (len(g), len(hosts[h]))
+        assert np.allclose([x["s"], x["kappa"], x["host_s"], x["host_kappa"], x["host_mean"], x["corpus"]], [p[g].sum(), kp, p[hosts[h]].sum(), kh, host_mean[h], corpus])
+
+
+def test_quality_leaves_the_document_out_of_its_site(spark):
+    texts = ["The " + words(60, k) + ". And so it ends." for k in range(40)] + ["### $$ 99 " * 9] * 40
+    ids = [f"d{k}" for k in range(80)]
+    df = named(spark, [*texts, *ODD, texts[0]], [*ids, *[None] * len(ODD), "d0"])
+    from pyspark.sql import functions as F
+
+    df = df.withColumn("source", F.when(F.col("doc_id") == "d1", "single").otherwise(F.col("source")))
+    labels = spark.createDataFrame([(k, int(i < 40)) for i, k in enumerate(ids)], "doc_id string, quality int")
+    got = quality.classify(df, labels).collect()
+    assert len(got) == df.count()
+    one = next(x for x in got if x["doc_id"] == "d1")
+    assert abs(one["p_good"] - one["p_document"]) < 1e-6 and one["p_host"] > np.mean([x["p_document"] for x in got])
+    assert all(x["keep"] == (x["doc_id"] in ids[:40]) for x in got if x["doc_id"])
+    urls = spark.createDataFrame([("https://u:p@www.A.example:8080/en/x?q=1",), ("http://b.example/x",), ("not a url",), (None,)], "u string")
+    assert [tuple(x) for x in urls.select(quality.url_host(F.col("u")), quality.url_path(F.col("u"))).collect()] == [("a.example", "/en"), ("b.example", "/"), (None, "/"), (None, "/")]
+
+
 # 10 toxicity
 def test_toxicity_finds_unlabelled_bad_words(spark):
     r = np.random.default_rng(11)
@@ -367,6 +565,86 @@ def test_toxicity_keeps_rare_words_of_a_large_corpus(spark):
     assert got == set(range(7))
 
 
+def _lexicon(texts, labels):
+    """({word: weight}, threshold) by plain loops over sets of words."""
+    from quadloom.llm.arrowtext import span_hash
+
+    def wilson(hits, n, z=1.96):
+        q = min(hits / n, 1.0)
+        return (q + z * z / (2 * n) - z * math.sqrt(q * (1 - q) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    hashed = lambda w: int(span_hash(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])).view(np.int64)[0])
+    sets = [set(re.findall(r"[0-9a-z_]+", t)) for t in texts]
+    n = {w: c for w, c in Counter(w for s in sets for w in s).items() if c >= toxicity.LEAST_DOCUMENTS}
+    toxic, clean = Counter(w for i, y in labels.items() if y for w in sets[i]), Counter(w for i, y in labels.items() if not y for w in sets[i])
+    known = [w for w in n if toxic[w] + clean[w]]
+    bound = {w: wilson(toxic[w], toxic[w] + clean[w]) for w in known}
+    bad = {w for w in known if bound[w] >= toxicity.SEED_BOUND}
+    best = sorted(known, key=lambda w: (-round(wilson(clean[w], toxic[w] + clean[w]), 12), -n[w], hashed(w)))[: max(len(bad), 8)]
+    good = set(best) - bad
+    sure = {w: bound[w] for w in bad | good}
+    reached = dict.fromkeys(bad, 1.0)
+    base = sum(labels.values()) / len(labels)
+    while True:
+        mass = [round(max((reached[w] for w in s if w in reached), default=0) * 1000) for s in sets]
+        held = Counter()
+        for s, m in zip(sets, mass):
+            for w in s:
+                held[w] += m
+        new = {}
+        for w in n:
+            h, e = held[w] / 1000, n[w] * sum(mass) / 1000 / len(texts)
+            if w not in sure and h >= toxicity.LEAST_DOCUMENTS and h - e > 3 * math.sqrt(max(e, 1)) and h >= 2 * e and (w not in bound or bound[w] > base):
+                c = min(bound.get(w, 9), wilson(h, n[w]))
+                if c > toxicity.LEAST_WEIGHT:
+                    new[w] = c
+        if not new:
+            break
+        sure |= new
+        reached |= new
+    edges = {}
+    members = sorted(sure)
+    for i, a in enumerate(members):
+        for b in members[i + 1 :]:
+            both, chance = sum(a in s and b in s for s in sets), n[a] * n[b] / len(texts)
+            if both >= toxicity.LEAST_DOCUMENTS and both > chance + 3 * math.sqrt(chance):
+                edges[a, b] = edges[b, a] = math.log(both / chance)
+    polarity = {w: float(w in bad) - float(w in good) for w in members}
+    for _ in range(toxicity.STEPS):
+        after = dict(polarity)
+        for w in members:
+            if w not in bad and w not in good:
+                around = {x: edges[w, x] for x in members if (w, x) in edges}
+                after[w] = sum(e * polarity[x] for x, e in around.items()) / max(sum(around.values()), 1e-12)
+        polarity = after
+    weight = {w: round(polarity[w] * sure[w], 9) for w in members}
+    weight = {w: x for w, x in weight.items() if x > toxicity.LEAST_WEIGHT}
+    score = {i: round(sum(weight.get(w, 0) for w in sets[i]), 9) for i in labels}
+    f1 = lambda t: 2 * sum(labels[i] for i in labels if score[i] >= t) / (sum(x >= t for x in score.values()) + sum(labels.values()))
+    return {hashed(w): x for w, x in weight.items()}, max(sorted({x for x in score.values() if x > 0}, reverse=True), key=f1)
+
+
+def test_toxicity_lexicon_against_brute_force(spark):
+    r = np.random.default_rng(21)
+    neutral, kind = [f"plain{k}" for k in range(120)], [f"kind{k}" for k in range(6)]
+    bad, near = [f"vile{k}" for k in range(5)], [f"near{k}" for k in range(4)]
+    texts, y = [], []
+    for i in range(700):
+        toxic = i % 5 == 0
+        t = [*r.choice(neutral, 20), *(r.choice(bad, 2) if toxic else r.choice(kind, 2)), *(r.choice(near, 2) if toxic and i >= 250 else [])]
+        texts.append(" ".join(t))
+        y.append(int(toxic) if i % 31 else 1 - int(toxic))
+    texts += ["", "once only", *texts[:2]]
+    ids = [f"d{i}" for i in range(len(texts))]
+    labels = {i: y[i] for i in range(250)}
+    table = spark.createDataFrame([(ids[i], v) for i, v in labels.items()], "doc_id string, toxic int")
+    lexicon, weights, threshold = toxicity.fit(named(spark, texts, ids), table)
+    want, at = _lexicon(texts, labels)
+    got = dict(zip(lexicon.view(np.int64).tolist(), weights.tolist()))
+    assert set(got) == set(want) and len(got) > 5
+    assert all(abs(got[w] - want[w]) < 1e-6 for w in want) and abs(threshold - at) < 1e-6
+
+
 def test_random_walk_against_dense_solution():
     r = np.random.default_rng(4)
     n = 12
