@@ -45,11 +45,12 @@ def degree_penalty(score: Column, degree: Column, kind: str = "log") -> Column:
     return score / (F.greatest(F.log(degree + 1), F.lit(0.1)) if kind == "log" else F.sqrt(F.greatest(degree, F.lit(1))))
 
 
-def bfs(quads: DataFrame, start: DataFrame, depth: int = 1, direction: str = "outgoing", edge_filter: str | None = None, node_type: str | None = None, limit_per_layer: int | None = None, scoring: str = "path", include_start_on_cycle: bool = True) -> DataFrame:
+def bfs(quads: DataFrame, start: DataFrame, depth: int = 1, direction: str = "outgoing", edge_filter: str | None = None, node_type: str | None = None, limit_per_layer: int | None = None, limit_per_node: int | None = None, scoring: str = "path", include_start_on_cycle: bool = True) -> DataFrame:
     """start, node, edge_type, direction, depth, score: nodes reached within ``depth`` hops of each of start (of one column), each at its first depth.
 
     Edges must contain ``edge_filter`` in their predicate, nodes must have ``node_type``; what is filtered out is
-    not walked through. A layer takes at most ``limit_per_layer`` nodes, by node and predicate. scoring: path is
+    not walked through. A layer takes at most ``limit_per_layer`` nodes, by node and predicate; of those that a
+    node leads to, at most ``limit_per_node`` are taken. scoring: path is
     1 / depth; degree and degree_sqrt divide it by a hub penalty. A cycle may lead back to the start once.
     """
     step = directed(quads, direction)
@@ -63,8 +64,11 @@ def bfs(quads: DataFrame, start: DataFrame, depth: int = 1, direction: str = "ou
     visited = frontier.where("false") if include_start_on_cycle else frontier
     layers = None
     for d in range(1, depth + 1):
-        reached = frontier.join(step, "node").select("start", F.col("next").alias("node"), "p", "direction")
+        reached = frontier.join(step, "node").select("start", F.col("node").alias("_from"), F.col("next").alias("node"), "p", "direction")
         fresh = reached.join(visited, ["start", "node"], "left_anti")
+        if limit_per_node:
+            fresh = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("start", "_from").orderBy("node", "p"))).where(F.col("_r") <= limit_per_node).drop("_r")
+        fresh = fresh.drop("_from")
         first = Window.partitionBy("start", "node").orderBy("p", "direction")
         fresh = fresh.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
         if limit_per_layer:
@@ -102,6 +106,22 @@ def hybrid(quads: DataFrame, store: DataFrame, query: list[float], k: int = 10,
     return every.groupBy("uri").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "uri").limit(limit)
 
 
+def hybrid_join(quads: DataFrame, store: DataFrame, queries: DataFrame, k: int = 10, depth: int = 1, limit: int = 20, mode: str = "hybrid", metric: str = "l2") -> DataFrame:
+    """q, rank (from 1), uri, score: hybrid() for every row of queries(q, embedding); the vectors are searched in blocks of queries, and the graph is walked once from all hits."""
+    hits = vec.nearest_join(queries, store, k, "q", "embedding", metric=metric)
+    score = F.col("score") if metric == "cosine" else vec.score(F.col("distance"))
+    named = store.select("key", vec.metadata_uri(F.col("metadata"), F.col("key")).alias("uri"))
+    hits = durable(hits.select("q", "key", score.alias("score")).join(named, "key").groupBy("q", "uri").agg(F.max("score").alias("score")))
+    if mode == "graph_only":
+        hits = hits.where("false")
+    every = hits
+    if depth > 0 and mode == "hybrid":
+        around = expand(quads, hits.select("uri").distinct(), depth).select(F.col("seed").alias("uri"), F.col("uri").alias("found"))
+        every = hits.unionByName(hits.join(around, "uri").select("q", F.col("found").alias("uri"), (F.col("score") * 0.8).alias("score")))
+    best = every.groupBy("q", "uri").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "uri"))).where(F.col("rank") <= limit).select("q", "rank", "uri", "score")
+
+
 def ranked(results: DataFrame) -> DataFrame:
     """node_id (rank from 0), score, content, uri: the older search's form."""
     return results.withColumn("node_id", F.row_number().over(Window.orderBy(F.desc("score"), "uri")) - 1).select("node_id", "score", F.col("uri").alias("content"), "uri")

@@ -7,10 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadloom.operators.loops import durable
+
 DIMENSION = 384
 VECTORS = "key string, embedding array<float>, metadata string, uri string"
 
@@ -73,44 +77,104 @@ def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "l2",
     return d.withColumn("score", score(F.col("distance"))).orderBy(quantised(F.col("distance")), key).limit(k)
 
 
-def nearest_join(queries: DataFrame, vectors: DataFrame, k: int, query_key: str, query_vector: str, key: str = "key", embedding: str = "embedding", block: int = 1024) -> DataFrame:
-    """query_key, rank, key, distance: the k nearest rows of vectors for every row of queries.
+#: Numbers of query vectors that a task holds at once.
+BLOCK_NUMBERS = 1 << 20
+
+
+def nearest_join(queries: DataFrame, vectors: DataFrame, k: int, query_key: str, query_vector: str, key: str = "key", embedding: str = "embedding", metric: str = "l2", block: int | None = None) -> DataFrame:
+    """query_key, rank, key, distance (l2) or score (cosine): the k nearest rows of vectors for every row of queries.
 
-    The queries go to every partition of vectors in blocks of bounded size; each partition multiplies whole
-    blocks of matrices and keeps k a query, which are then merged.
+    Queries go to the partitions of vectors in blocks of bounded size, a pass over vectors each, whose result is kept
+    before the next; each partition multiplies matrices to find who can be among the k best, compares these exactly and
+    keeps k a query, which are then merged. Distances are compared in whole millionths, ties by key. Vectors of another
+    dimension than the query's, null or with a null or NaN in them match nothing; queries with a null key are left out.
     """
+    queries = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v")).where("q is not null and v is not null and size(v) > 0")
+    kinds = dict(queries.dtypes)["q"], dict(vectors.dtypes)[key]
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    block = block or max(64, BLOCK_NUMBERS // max(size["d"] or 1, 1))
+    blocks = max(1, -(-size["n"] // block))
+    table = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).alias("key"), F.col(embedding).alias("v"))
+    value = "distance" if metric == "l2" else "score"
     out = None
-    n = queries.count()
-    blocks = max(1, -(-n // block))
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b).select(query_key, query_vector).orderBy(query_key).toPandas()
-        if not len(rows):
-            continue
-        ids, q = rows[query_key].tolist(), np.stack([np.asarray(x, dtype=np.float64) for x in rows[query_vector]])
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object))] * len(ids)
-            for pdf in batches:
-                for at in range(0, len(pdf), 4096):
-                    part = pdf.iloc[at : at + 4096]
-                    x = np.stack([np.asarray(v, dtype=np.float64) for v in part["v"]])
-                    keys = part["key"].to_numpy()
-                    for i in range(len(ids)):
-                        d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                        dd, kk = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], keys])
-                        order = np.lexsort((kk, dd))[:k]
-                        best[i] = dd[order], kk[order]
-            for i, (d, kk) in enumerate(best):
-                if len(d):
-                    yield pd.DataFrame({"q": [ids[i]] * len(d), "key": kk, "distance": d})
-
-        types = dict(vectors.dtypes) | {"q": dict(queries.dtypes)[query_key]}
-        part = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).alias("key"), F.col(embedding).alias("v")).mapInPandas(run, f"q {types['q']}, key {types[key]}, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], f"{query_key} {dict(queries.dtypes)[query_key]}, rank int, {key} {dict(vectors.dtypes)[key]}, distance double")
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "key"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query_key), "rank", F.col("key").alias(key), "distance")
+        rows = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").toArrow()
+        for d, part in _by_dimension(rows["q"].combine_chunks(), rows["v"].combine_chunks()):
+            found = table.where(F.size("v") == d).mapInArrow(_search(*part, k, metric), f"q {kinds[0]}, key {kinds[1]}, place double, {value} double")
+            ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("place", "key"))).where(F.col("rank") <= k)
+            ranked = ranked.select(F.col("q").alias(query_key), "rank", F.col("key").alias(key), value)
+            ranked = durable(ranked) if blocks > 1 else ranked
+            out = ranked if out is None else out.unionByName(ranked)
+    return queries.sparkSession.createDataFrame([], f"{query_key} {kinds[0]}, rank int, {key} {kinds[1]}, {value} double") if out is None else out
+
+
+def _by_dimension(ids: pa.Array, lists: pa.ListArray) -> Iterator[tuple[int, tuple[pa.Array, np.ndarray]]]:
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        x = _matrix(lists.take(pa.array(at)), int(d))
+        sound = ~np.isnan(x).any(axis=1)
+        if sound.any():
+            yield int(d), (ids.take(pa.array(at[sound])), x[sound])
+
+
+def _matrix(lists: pa.Array, d: int) -> np.ndarray:
+    """Rows of d numbers each; a null number is NaN."""
+    flat = pc.fill_null(lists.flatten().cast(pa.float64()), float("nan"))
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _search(ids: pa.Array, q: np.ndarray, k: int, metric: str):
+    """A function of batches (key, v): q, key, place (what is sorted by) and distance or score of each query's k best among them."""
+    cosine_ = metric != "l2"
+    norm = np.sqrt((q * q).sum(axis=1))
+    qq = norm * norm
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros(0, np.int64), None, np.zeros(0), np.zeros(0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x = _matrix(part.column("v"), q.shape[1])
+                sound = np.flatnonzero(~np.isnan(x).any(axis=1))
+                if len(sound):
+                    best = kept(best, part.column("key").take(pa.array(sound)), x[sound])
+        if best[1] is not None:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(best[0])), best[1], pa.array(best[2]), pa.array(best[3])], names=["q", "key", "place", "score" if cosine_ else "distance"])
+
+    def kept(best: tuple, keys: pa.Array, x: np.ndarray) -> tuple:
+        size = np.sqrt((x * x).sum(axis=1))
+        who, what = [], []
+        for i in range(0, len(q), 512):
+            product = q[i : i + 512] @ x.T
+            if cosine_:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    far = np.nan_to_num(-product / (norm[i : i + 512, None] * size[None, :]), nan=np.inf, posinf=np.inf, neginf=np.inf)
+                slack = 1e-9
+            else:
+                far = np.sqrt(np.maximum(qq[i : i + 512, None] + (size * size)[None, :] - 2 * product, 0))
+                # Where distances are small, the squares' rounding shows as its root.
+                slack = 1e-6 + 1e-7 * (norm[i : i + 512, None] + size.max())
+            last = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if k <= len(x) else np.full((len(far), 1), np.inf)
+            r, c = np.nonzero((far <= last + 2 * slack) & (far < np.inf))
+            who.append(r + i)
+            what.append(c)
+        r, c = np.concatenate(who), np.concatenate(what)
+        exact = np.concatenate([_exact(q[r[m : m + 8192]], x[c[m : m + 8192]], norm[r[m : m + 8192]] * size[c[m : m + 8192]]) for m in range(0, len(r), 8192)] or [np.zeros(0)])
+        place = -exact if cosine_ else np.floor(exact * 1e6)
+        keys = keys.take(pa.array(c))
+        if best[1] is not None:
+            r, keys, place, exact = np.concatenate([best[0], r]), pa.concat_arrays([best[1], keys]), np.concatenate([best[2], place]), np.concatenate([best[3], exact])
+        order = pc.sort_indices(pa.table({"r": r, "place": place, "key": keys}), sort_keys=[("r", "ascending"), ("place", "ascending"), ("key", "ascending")]).to_numpy()
+        r = r[order]
+        first = np.searchsorted(r, r)
+        take = order[np.arange(len(r)) - first < k]
+        return r[np.arange(len(r)) - first < k], keys.take(pa.array(take)), place[take], exact[take]
+
+    def _exact(a: np.ndarray, b: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        return (a * b).sum(axis=1) / norms if cosine_ else np.sqrt(((a - b) ** 2).sum(axis=1))
+
+    return run
 
 
 def triple_vectors(triples: DataFrame) -> DataFrame:

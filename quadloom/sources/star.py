@@ -79,9 +79,10 @@ def hierarchy(spark: SparkSession, sf_dir: str, predicate: str) -> DataFrame:
 
 
 def following(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a, b: types of events that follow each other for one user; a cyclic graph."""
+    """a, b: what a user did and did next, as <type>-<user>; cycles wherever a user repeats something."""
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events")
     nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 7).cast("string")).alias("a"), F.concat(nxt, F.lit("-"), (F.col("user_id") % 5).cast("string")).alias("b")).where("b is not null").distinct()
+    named = lambda kind: F.concat(kind, F.lit("-"), F.col("user_id").cast("string"))
+    return e.select(named(F.col("event_type")).alias("a"), named(nxt).alias("b")).where("b is not null").distinct()
