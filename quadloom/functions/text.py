@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,45 +13,57 @@ from pyspark.sql import types as T
 from quadloom.functions.terms import BASE
 
 
+#: White space characters of more than one byte, as UTF-8: leading bytes, and the last bytes that go with them.
+_WIDE_SPACE = {b"\xc2": b"\x85\xa0", b"\xe1\x9a": b"\x80", b"\xe2\x80": bytes([*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), b"\xe2\x81": b"\x9f", b"\xe3\x80": b"\x80"}
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+def space_ends(data: np.ndarray) -> np.ndarray:
+    """Places after each white space character of UTF-8 text."""
+    end = _SPACE[data]
+    if (data >= 0xC2).any():
+        for lead, last in _WIDE_SPACE.items():
+            hit = np.isin(data, np.frombuffer(last, np.uint8))
+            for k, byte in enumerate(reversed(lead)):
+                back = np.zeros(len(data), dtype=bool)
+                back[k + 1 :] = data[: len(data) - k - 1] == byte
+                hit &= back
+            end |= hit
+    return np.flatnonzero(end) + 1
+
+
+def word_chunk_bounds(data: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Byte ranges of the chunks of a text, white space around them included; see chunk_words().
+
+    Texts are cut into pieces, a word with the white space character that ends it; a chunk is a run of pieces, and
+    where it ends is looked up among the places where pieces end. So the work in Python is per chunk.
+    """
+    at = np.concatenate([[0], space_ends(data)])
+    if at[-1] != len(data):
+        at = np.append(at, len(data))
+    n, begin, pushed = len(at) - 1, 0, 1
+    out = []
+    while n:
+        end = max(pushed, int(np.searchsorted(at, at[begin] + size, side="right")) - 1)
+        if end >= n:
+            out.append((int(at[begin]), int(at[n])))
+            return out
+        out.append((int(at[begin]), int(at[end])))
+        begin = max(begin, int(np.searchsorted(at, at[end] - overlap)))
+        pushed = end + 1
+    return out
+
+
 def chunk_words(text: str | None, size: int = 1000, overlap: int = 150) -> list[str]:
     """Chunks of at most ``size`` UTF-8 bytes, cut at white space, each begun with the last words of the one before that fit ``overlap``.
 
     White space after a word stays with it; chunks are trimmed; a longer word is a chunk of its own, and so is a word that
     does not fit beside the overlap, together with it. Null and blank give none.
     """
-    if not text or not text.strip():
-        return []
-    out: list[str] = []
-    held: list[str] = []
-    n = at = 0
-    pieces: list[str] = []
-    while at < len(text):  # a word with the white space character that ends it
-        end = at
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        pieces.append(text[at : end + 1])
-        at = end + 1
-    for piece in pieces:
-        width = len(piece.encode())
-        if n + width > size and held:
-            chunk = "".join(held).strip()
-            if chunk:
-                out.append(chunk)
-            kept: list[str] = []
-            n = 0
-            for back in reversed(held):
-                w = len(back.encode())
-                if n + w > overlap:
-                    break
-                kept.append(back)
-                n += w
-            held = kept[::-1]
-        held.append(piece)
-        n += width
-    last = "".join(held).strip()
-    if last:
-        out.append(last)
-    return out
+    raw = (text or "").encode()
+    chunks = (raw[a:b].decode().strip() for a, b in word_chunk_bounds(np.frombuffer(raw, np.uint8), size, overlap))
+    return [c for c in chunks if c]
 
 
 def chunk_chars(text: str | None, size: int = 500, overlap: int = 50) -> list[str]:
@@ -78,7 +91,7 @@ def _chunker(function, size: int, overlap: int):
     @F.pandas_udf("array<string>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda x: function(x, size, overlap))
+            yield pd.Series([function(x, size, overlap) for x in s], dtype=object)
 
     return run
 

@@ -92,12 +92,31 @@ def src11_page_text(spark, sf):
     return star.table(spark, sf, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
-@query()
+def word_chunks_sql(table: str, key: str, text: str, size: int = 1000, overlap: int = 150) -> str:
+    """A recursive query for the rows key, n (chunks of the text), chunk_idx, chunk; table: of key and text."""
+    blank = r"^\s+|\s+$"
+    return rf"""with recursive pieces as (select {key} k, unnest(regexp_extract_all({text}, '\S*\s|\S+')) p, generate_subscripts(regexp_extract_all({text}, '\S*\s|\S+'), 1) i from {table}),
+placed as (select k, i, p, sum(strlen(p)) over (partition by k order by i)::bigint e from pieces),
+texts as (select k, list(p order by i) ps, list_prepend(0, list(e order by i)) ends, count(*) n from placed group by k),
+step as (
+  select k, 0 no, 0 a, least(n, greatest(1, len(list_filter(ends, lambda x: x <= {size})) - 1)) b from texts
+  union all
+  select k, no + 1, na, least(n, greatest(b + 1, len(list_filter(ends, lambda x: x <= ends[na + 1] + {size})) - 1)) from (
+    select s.k, no, b, n, ends, greatest(a, len(list_filter(ends, lambda x: x < ends[b + 1] - {overlap}))) na from step s join texts t on s.k = t.k where b < n)),
+cut as (select s.k, no, regexp_replace(array_to_string(ps[a + 1:b], ''), '{blank}', '', 'g') c from step s join texts t on s.k = t.k),
+chunks as (select k, c, row_number() over (partition by k order by no) - 1 chunk_idx, count(*) over (partition by k) n from cut where c <> '')
+select k, c, chunk_idx::int chunk_idx, n from chunks"""
+
+
+PAGE_TEXT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', ' ', 'gs'), '<style.*?</style>', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))"""
+
+
+@query(f"select url doc_uri, chunk_idx, url || '#chunk-' || chunk_idx chunk_uri, c as text, 'web_chunk' as type from ({word_chunks_sql(f'(select page_id, {PAGE_TEXT} as body from pages)', 'page_id', 'body')}) join pages on page_id = k")
 def src11_page_chunks(spark, sf):
     return files.page_chunks(star.table(spark, sf, "pages"))
 
 
-@query()
+@query(f"select 'urn:doc:' || k doc_uri, chunk_idx, case when n > 1 then 'urn:doc:' || k || '#chunk-' || chunk_idx else 'urn:doc:' || k end chunk_uri, c as text, 'text_chunk' as type from ({word_chunks_sql('documents', 'doc_id', 'text')})")
 def src12_text_chunks(spark, sf):
     return files.text_chunks(star.table(spark, sf, "documents"), "text", F.concat(F.lit("urn:doc:"), F.col("doc_id").cast("string")))
 
@@ -137,10 +156,14 @@ def snk3_assign_ids(spark, sf):
     return store.assign_ids(spark.createDataFrame([], "uri string, node_id int"), names)
 
 
-@query()
+@query(f"select {PART} as key, p_name metadata, {PART} uri, 384 dimension, 1.0::double length from part where p_size > 10")
 def snk4_embed_if_absent(spark, sf):
-    docs = star.table(spark, sf, "part").select(star.node("part", "p_partkey").alias("key"), F.col("p_name").alias("content"), F.lit("{}").alias("metadata"), star.node("part", "p_partkey").alias("uri"))
-    return vectors.insert_absent(spark.createDataFrame([], vectors.VECTORS), docs)
+    """Parts' names embedded, but for those the store has; each comes twice."""
+    p = star.table(spark, sf, "part")
+    rows = lambda p: p.select(star.node("part", "p_partkey").alias("key"), F.col("p_name").alias("content"), F.col("p_name").alias("metadata"), star.node("part", "p_partkey").alias("uri"))
+    there = vectors.insert_absent(spark.createDataFrame([], vectors.VECTORS), rows(p.where("p_size <= 10")))
+    fresh = vectors.insert_absent(there, rows(p.unionByName(p)))
+    return fresh.select("key", "metadata", "uri", F.size("embedding").alias("dimension"), F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 4).alias("length"))
 
 
 @query(f"""select {NATION} || '|{PROP}n_regionkey|' || {node('region', 'n_regionkey')} as key, {NATION} || ' {PROP}n_regionkey ' || {node('region', 'n_regionkey')} as content, {NATION} uri,
@@ -478,9 +501,12 @@ def snk11_training_rows(spark, sf):
     return quality.training_rows(_sessions(spark, sf))
 
 
-@query()
+@query("""with h as (select * from part order by p_partkey limit 100),
+c as (select k as "column", v from (select 'p_partkey' k, p_partkey::varchar v from h union all select 'p_name', p_name from h union all select 'p_brand', p_brand from h union all select 'p_type', p_type from h union all select 'p_size', p_size::varchar from h) where v <> '')
+select "column", bool_and(try_cast(v as double) is not null) is_numeric, count(distinct v) < 20 is_category, array_to_string(list_sort(list(distinct v))[1:5], ',') samples from c group by 1""")
 def ag11_column_profile(spark, sf):
-    return quality.column_profile(star.table(spark, sf, "part"))
+    head = star.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").orderBy("p_partkey").limit(100)  # a profile is of the first rows
+    return quality.column_profile(head).withColumn("samples", F.concat_ws(",", "samples"))
 
 
 @query("select conv_id, turn, lag(role, 1) over w previous_1, lag(role, 2) over w previous_2, round((row_number() over w - 1) / (count(*) over (partition by conv_id))::double, 9) as position from conversations window w as (partition by conv_id order by turn)")
@@ -524,7 +550,19 @@ def sc10_markdown_triples(spark, sf):
     return tx.markdown_triples(docs, "text", F.concat(F.lit("urn:doc:"), F.col("c_custkey").cast("string")))
 
 
-@query()
+def _last_mark(mark: str, width: int) -> str:
+    """Characters up to and with the last mark in w, if that lies past the middle, else null."""
+    return f"case when strpos(reverse(w), reverse({mark})) > 0 and length(w) - strpos(reverse(w), reverse({mark})) - {width} + 1 > 250 then length(w) - strpos(reverse(w), reverse({mark})) + 1 end"
+
+
+@query(rf"""with recursive step as (
+  select doc_id k, text x, 0 f, 0 e, -1 no from documents where length(text) > 0
+  union all
+  select k, x, e0, e0 + case when e0 + 500 < length(x) then coalesce({_last_mark("'. '", 2)}, {_last_mark("chr(10)", 1)}, {_last_mark("'; '", 2)}, 500) else length(w) end, no + 1
+  from (select *, substr(x, e0 + 1, 500) w from (select *, case when no < 0 then 0 else greatest(e - 50, f + 1) end e0 from step where no < 0 or e < length(x)))),
+cut as (select k, no, regexp_replace(substr(x, f + 1, e - f), '^\s+|\s+$', '', 'g') c from step where no >= 0),
+chunks as (select k, c, row_number() over (partition by k order by no) - 1 chunk_idx, count(*) over (partition by k) n from cut where c <> '')
+select 'urn:doc:' || k doc_uri, chunk_idx::int chunk_idx, case when n > 1 then 'urn:doc:' || k || '#chunk-' || chunk_idx else 'urn:doc:' || k end chunk_uri, c as text, 'doc_chunk' as type from chunks""")
 def sc7_character_chunks(spark, sf):
     return tx.with_chunks(star.table(spark, sf, "documents"), "text", F.concat(F.lit("urn:doc:"), F.col("doc_id").cast("string")), 500, 50, by_chars=True)
 
