@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadloom.functions import arguments as checked
 from quadloom.functions import cypher
 from quadloom.functions import terms as t
 from quadloom.operators import graph, quality, reason, store, vectors
 from quadloom.operators.loops import durable
 from quadloom.plans import sparql
-from quadloom.sources import files
+from quadloom.sources import exchange, files
 
 AUDIT = "timestamp timestamp, namespace string, strategy string, input_triples long, inferred_triples long, duplicates_skipped long, sample array<struct<s:string,p:string,o:string>>"
 
@@ -58,7 +59,9 @@ class Access:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, access: Access | None = None, dimension: int = vectors.DIMENSION):
+    def __init__(self, spark: SparkSession, root: str, access: Access | None = None, dimension: int = vectors.DIMENSION, folder: str | None = None, scenario_root: str | None = None):
+        """root: the store; folder: where downloads go, a path that executors see; scenario_root: the scenarios to install from."""
+        self.folder, self.scenario_root = folder, scenario_root
         self.spark, self.access = spark, access or Access()
         self.store = store.QuadStore(spark, root, dimension=dimension)
         self.store.SCHEMAS = self.store.SCHEMAS | {"audit": AUDIT}
@@ -83,6 +86,26 @@ class Engine:
                 rows = rows.withColumn("provenance", F.coalesce("provenance", given))
         return self.store.ingest(rows, ns)
 
+    def ingest_pipeline(self, rows: DataFrame, ontology: DataFrame, source: str = "unknown", metadata: dict | None = None, skip_enrichment: bool = False, ns: str | None = None, token: str | None = None) -> dict:
+        """Validates, deduplicates against all that was ever taken, enriches, adds provenance and stores; the counters, and status "empty" for no rows."""
+        ns = self._ns(ns, "write", token)
+        got, hashes, counts = quality.ingestion(rows, ontology, source, metadata, self.store.read("seen", ns), skip_enrichment=skip_enrichment)
+        n = counts.first().asDict()
+        if not n["input"]:
+            return {"status": "empty", "stored": 0}
+        self.store.ingest(got.drop("inferred"), ns)
+        self.store.append("seen", hashes, ns)
+        return n
+
+    def ingest_url(self, url: str, ns: str | None = None, token: str | None = None, fetch=exchange.http_get) -> int:
+        """A page fetched and cut into chunks; how many are new. A page that can't be fetched is an error."""
+        ns = self._ns(ns, "write", token)
+        page = self.spark.createDataFrame([(url, fetch(url).decode("utf-8", "replace"))], "url string, html string")
+        return self._add_chunks(files.page_chunks(page), ns)
+
+    def ingest_notes(self, notes: DataFrame, ns: str | None = None, token: str | None = None) -> int:
+        return self.store.ingest(exchange.note_triples(notes), self._ns(ns, "write", token))
+
     def ingest_file(self, path: str, ns: str | None = None, token: str | None = None) -> int:
         ns = self._ns(ns, "write", token)
         got = files.ingestable(self.spark, path, ns)
@@ -126,6 +149,45 @@ class Engine:
     def cypher(self, text: str, ns: str | None = None, token: str | None = None) -> DataFrame:
         return cypher.query(self._quads(self._ns(ns, "read", token)), text)
 
+    def size(self, ns: str | None = None, token: str | None = None) -> int:
+        """Quads of a namespace."""
+        return self._quads(self._ns(ns, "read", token)).count()
+
+    def cypher_page(self, text: str, ns: str | None = None, token: str | None = None, most: int = 20) -> DataFrame:
+        return cypher.page(self.cypher(text, ns, token), most)
+
+    def retrieve(self, text: str, ns: str | None = None, token: str | None = None, k: int = 5) -> DataFrame:
+        """uri, score, metadata, predicate, neighbour: what is nearest to a text, with the edges around it (null where there are none). Callers take 3 for an answer, 5 for a search, 2 for background."""
+        ns = self._ns(ns, "read", token)
+        hits = vectors.nearest(self.store.live_vectors(ns), vectors.hash_embedding(text, self.dimension), k)
+        named = durable(hits.select(vectors.metadata_uri(F.col("metadata"), F.col("key")).alias("uri"), "score", "metadata"))
+        around = graph.directed(self._quads(ns), "both").select(F.col("node").alias("uri"), F.col("p").alias("predicate"), F.col("next").alias("neighbour"))
+        return named.join(around, "uri", "left").orderBy(F.desc("score"), "uri", "predicate", "neighbour")
+
+    def context(self, text: str, ns: str | None = None, token: str | None = None, k: int = 2, most: int = 300) -> str:
+        """The descriptions of what is nearest, cut to ``most`` characters."""
+        ns = self._ns(ns, "read", token)
+        hits = vectors.nearest(self.store.live_vectors(ns), vectors.hash_embedding(text, self.dimension), k).select(F.coalesce(F.get_json_object("metadata", "$.description"), F.lit("")).alias("d")).collect()
+        return "\n".join(r["d"] for r in hits)[:most] or "nothing found"
+
+    def call(self, operation: str, arguments: dict | None = None, token: str | None = None):
+        """An operation by name, its arguments checked first; InvalidArguments says what is wrong with them."""
+        checked.check(operation, arguments)
+        a = dict(arguments or {})
+        ns = a.pop("namespace", None)
+        run = {
+            "ingest_triples": lambda: self.ingest_triples(a["triples"], ns, token), "ingest_file": lambda: self.ingest_file(a["path"], ns, token), "ingest_text": lambda: self.ingest_text(a["uri"], a["content"], ns, token),
+            "ingest_url": lambda: self.ingest_url(a["url"], ns, token), "sparql_query": lambda: self.sparql(a["query"], ns, token),
+            "hybrid_search": lambda: self.hybrid_search(a["query"], ns, token, a.get("vector_k", 10), a.get("graph_depth", 1), a.get("limit", 20)),
+            "apply_reasoning": lambda: self.apply_reasoning(a.get("strategy", "rdfs"), a.get("materialize", False), ns, token),
+            "get_neighbors": lambda: self.neighbours(a["uri"], ns, token, a.get("direction", "outgoing")), "list_triples": lambda: self.list_triples(a.get("limit", 100), ns, token),
+            "delete_namespace": lambda: self.delete_namespace(ns, token), "compact_vectors": lambda: self.compact_vectors(ns, token), "vector_stats": lambda: self.vector_stats(ns, token),
+            "disambiguate": lambda: self.disambiguate(ns, token, a.get("threshold", 0.8)), "get_node_degree": lambda: self.node_degree(a["uri"], ns, token),
+            "install_ontology": lambda: self.ingest_file(exchange.download(a["url"], self.folder, a["name"]), ns, token),
+            "list_scenarios": lambda: files.scenarios(self.scenario_root), "install_scenario": lambda: self.install_scenario(self.scenario_root, a["name"], self.folder, ns, token),
+        }
+        return run[operation]()
+
     def all_triples(self, ns: str | None = None, token: str | None = None) -> DataFrame:
         return store.api_rows(self._quads(self._ns(ns, "read", token)))
 

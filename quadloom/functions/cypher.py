@@ -94,6 +94,12 @@ def query(quads: DataFrame, text: str) -> DataFrame:
     return got.orderBy(*(F.col(f"`{c}`") for c in got.columns)).limit(int(limit)) if limit else got
 
 
+def page(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The first rows in order, each with ``total_matches``, the number of all."""
+    total = rows.agg(F.count("*").alias("total_matches"))
+    return rows.orderBy(*(F.col(f"`{c}`") for c in rows.columns)).limit(most).crossJoin(F.broadcast(total))
+
+
 def question(text: str) -> str:
     """Cypher for a question: what improves soil, swales and water, what is X, else a search for its longest word."""
     low = text.lower()

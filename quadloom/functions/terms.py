@@ -131,3 +131,8 @@ def similarity(a: Column | str, b: Column | str) -> Column:
 
 def empty_quads(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], QUADS)
+
+
+def now() -> Column:
+    """The time of the query in RFC 3339, in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -186,7 +186,7 @@ def model_triples(c: Column) -> Column:
     strip = lambda x: F.trim(F.regexp_replace(x, r"^[\s\"']+|[\s\"']+$", ""))
     pattern = r"[(\[]\s*([^,()\[\]]+),\s*([^,()\[\]]+),\s*([^()\[\]]+?)\s*[)\]]"
     parts = [F.regexp_extract_all(c, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "spo"))), lambda x: F.struct(strip(x["0"]).alias("subject"), strip(x["1"]).alias("predicate"), strip(x["2"]).alias("object")))
+    return F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "spo"))), lambda x: F.struct(strip(x["s"]).alias("subject"), strip(x["p"]).alias("predicate"), strip(x["o"]).alias("object")))
 
 
 def row_text(df: DataFrame, columns: list[str], limit: int | None = None) -> Column:

@@ -113,6 +113,34 @@ def deduplicated(triples: DataFrame, seen: DataFrame | None = None) -> DataFrame
     return hashed.join(seen.select("hash"), "hash", "left_anti") if seen is not None else hashed
 
 
+def ingestion(triples: DataFrame, ontology: DataFrame, source: str = "unknown", metadata: dict | None = None, seen: DataFrame | None = None, rules: list[str] | None = None, skip_enrichment: bool = False, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hashes, counts) of an ingest of triples(subject, predicate, object): validated, each once, enriched, with provenance.
+
+    rows: subject, predicate, object, provenance, inferred. hashes: those of the triples taken, to be given as ``seen``
+    next time. counts: one row of input, validated, duplicates (among them and against ``seen``), enriched, stored, errors.
+    metadata's source, timestamp and method go before those given.
+    """
+    from quadloom.operators import reason
+    from quadloom.operators.loops import durable
+
+    given = durable(validate(triples, ontology, strict, suggest=False))
+    valid = given.where("valid").select("subject", "predicate", "object")
+    own = durable(deduplicated(valid, seen))
+    spo = own.select(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"))
+    facts = own.select("subject", "predicate", "object", F.lit(False).alias("inferred"))
+    if not skip_enrichment:
+        more = reason.infer(spo, ontology, rules).select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"), F.lit(True).alias("inferred"))
+        facts = facts.unionByName(more)
+    facts = durable(facts)
+    extra = metadata or {}
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    prov = F.struct(F.lit(extra.get("source", source)).alias("source"), (F.lit(extra["timestamp"]) if "timestamp" in extra else stamp).alias("timestamp"), F.lit(extra.get("method", "SLM")).alias("method"))
+    n = lambda df, **named: df.agg(*(c.alias(k) for k, c in named.items()))
+    counts = n(given, input=F.count("*"), validated=F.count_if("valid"), errors=F.count_if(~F.col("valid"))).crossJoin(n(own, _own=F.count("*"))).crossJoin(n(facts, enriched=F.count_if("inferred"), stored=F.count("*")))
+    counts = counts.select("input", "validated", (F.col("validated") - F.col("_own")).alias("duplicates"), "enriched", "stored", "errors")
+    return facts.select("subject", "predicate", "object", prov.alias("provenance"), "inferred"), own.select("hash"), counts
+
+
 def suggest_merges(names: DataFrame, column: str, threshold: float = 0.8) -> DataFrame:
     """a, b (a < b), similarity >= threshold of the labels of distinct strings, most similar first.
 
@@ -132,7 +160,10 @@ def suggest_merges(names: DataFrame, column: str, threshold: float = 0.8) -> Dat
     # Every shape (n, d, k) of piece that labels of the lengths at hand can have.
     shapes = pieces.select("n", "d", "k", "at", F.length("piece").alias("w")).distinct()
     short = labels.where("n > 0").select(F.col("label").alias("y"), F.col("n").alias("m"))
-    fits = short.join(F.broadcast(shapes), (F.col("m") <= F.col("n")) & (F.col("n") - F.col("m") <= F.col("d")))
+    # Lengths, not labels, are matched by range: there are as many pairs of lengths as there are shapes, times the edits allowed.
+    lengths = short.select("m").distinct()
+    reach = lengths.join(shapes, (F.col("m") <= F.col("n")) & (F.col("n") - F.col("m") <= F.col("d")))
+    fits = short.join(reach, "m")
     windows = fits.select("y", "m", "n", "k", "w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("d")), F.greatest(F.greatest(F.lit(0), F.col("at") - F.col("d")), F.least(F.col("at") + F.col("d"), F.col("m") - F.col("w"))))).alias("p"))
     windows = windows.select("y", "n", "k", F.substring(F.col("y"), F.col("p") + 1, F.col("w")).alias("piece")).distinct()
     met = pieces.select("x", "n", "k", "piece").join(windows, ["n", "k", "piece"]).select("x", "y").where("x <> y")

@@ -82,8 +82,9 @@ def materialise(quads: DataFrame, strategy: str = "rdfs") -> DataFrame:
         found = closure(triples.where(F.col("p") == SUBCLASS).select(F.col("s").alias("a"), F.col("o").alias("b")))
         once = chain(found.select(F.col("a").alias("s"), F.lit(SUBCLASS).alias("p"), F.col("b").alias("o")), triples.where(F.col("p") == SUBCLASS), ["p"]).distinct()
         return once.join(there, TRIPLE, "left_anti")
-    total = durable(triples.distinct())
-    added, delta = total.where("false"), total
+    # Every round's new triples are a table of their own; what was found is their union and is not written again.
+    total = delta = durable(triples.distinct())
+    added = there.where("false")
     while not delta.isEmpty():
         transitive = declared(total, "TransitiveProperty")
         edges = total.join(transitive, "p", "left_semi").select(*TRIPLE)
@@ -100,12 +101,11 @@ def materialise(quads: DataFrame, strategy: str = "rdfs") -> DataFrame:
             walked.join(declared(total, "SymmetricProperty"), "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o")),
             walked.join(pairs, "p").select(F.col("o").alias("s"), F.col("_q").alias("p"), F.col("s").alias("o")),
         ]
-        concluded = reduce(DataFrame.unionByName, steps).distinct()
+        concluded = durable(reduce(DataFrame.unionByName, steps).distinct())
         delta = durable(concluded.join(total, TRIPLE, "left_anti"))
-        added = added.unionByName(concluded.join(there, TRIPLE, "left_anti"))
+        added = added.unionByName(concluded)
         total = total.unionByName(delta)
-        added, total = durable(added.distinct()), durable(total)
-    return added
+    return added.distinct().join(there, TRIPLE, "left_anti")
 
 
 # Extended rules: triples and an ontology, both s, p, o.
@@ -186,7 +186,7 @@ def resolve_names(df: DataFrame, column: str, fragments: DataFrame, default_ns:
     known = fragments.groupBy(F.lower("name").alias("_name")).agg(F.min("iri").alias("_iri"))
     curie = F.lit(None)
     for k, v in CURIES.items():
-        curie = F.when(c.startswith(k + ":"), F.concat(F.lit(v), F.substring(c, len(k) + 2, 10_000))).otherwise(curie)
+        curie = F.when(c.startswith(k + ":"), F.concat(F.lit(v), F.substr(c, F.lit(len(k) + 2)))).otherwise(curie)
     joined = df.join(known, F.lower(c) == F.col("_name"), "left")
     fallback = F.concat(F.lit(default_ns), F.replace(F.trim(c), F.lit(" "), F.lit("_")))
     return joined.withColumn("uri", F.when(c.startswith("http") | c.startswith("urn:"), c).otherwise(F.coalesce(curie, "_iri", fallback))).drop("_name", "_iri")

@@ -84,10 +84,15 @@ def listed(quads: DataFrame, limit: int = 100) -> DataFrame:
     return quads.select(t.subject_term().alias("subject"), t.iri("p").alias("predicate"), t.object_term().alias("object")).orderBy("subject", "predicate", "object").limit(limit)
 
 
+def sources(triples: DataFrame) -> DataFrame:
+    """source: the distinct ones that triples(..., provenance) come from."""
+    return triples.select(F.col("provenance.source").alias("source")).where("source is not null and source <> ''").distinct()
+
+
 class QuadStore:
     """Tables quads, node_ids and vectors under a root, partitioned by namespace directory."""
 
-    SCHEMAS = {"quads": t.QUADS, "node_ids": "uri string, node_id int", "vectors": vec.VECTORS, "removed": "key string"}
+    SCHEMAS = {"quads": t.QUADS, "node_ids": "uri string, node_id int", "vectors": vec.VECTORS, "removed": "key string", "seen": "hash string"}
 
     def __init__(self, spark: SparkSession, root: str, base: str = t.BASE, dimension: int = vec.DIMENSION, embed=None):
         self.spark, self.root, self.base, self.dimension, self.embed = spark, root.rstrip("/"), base, dimension, embed
@@ -108,18 +113,25 @@ class QuadStore:
     def read(self, table: str, ns: str = "default") -> DataFrame:
         path = self.path(table, ns)
         schema = T._parse_datatype_string(self.SCHEMAS[table])
+        if not self.exists(path) and self.exists(path + ".old"):
+            fs, p = self._fs(path)
+            fs.rename(self._fs(path + ".old")[1], p)
         return self.spark.read.schema(schema).parquet(path) if self.exists(path) else self.spark.createDataFrame([], schema)
 
     def append(self, table: str, df: DataFrame, ns: str) -> None:
         df.write.mode("append").parquet(self.path(table, ns))
 
     def replace(self, table: str, df: DataFrame, ns: str) -> None:
-        """Writes beside, then moves into place."""
+        """Writes beside, then moves into place; what was there is kept aside until then, and restored by the next read if that never came."""
         path = self.path(table, ns)
         df.write.mode("overwrite").parquet(path + ".new")
         fs, p = self._fs(path)
-        fs.delete(p, True)
+        old = self._fs(path + ".old")[1]
+        if fs.exists(p):
+            fs.delete(old, True)
+            fs.rename(p, old)
         fs.rename(self._fs(path + ".new")[1], p)
+        fs.delete(old, True)
 
     def add_quads(self, quads: DataFrame, ns: str = "default") -> int:
         """Appends what is new, sorted for Parquet to skip by predicate and subject; how many that is."""

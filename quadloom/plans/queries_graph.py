@@ -60,9 +60,32 @@ def src3_limited_scan(spark, sf):
     return store.listed(star.quads(spark, sf, "o_custkey", "c_nationkey", "n_regionkey"), 100)
 
 
-@query(" union all ".join(f"select 'urn:csv:customer.csv:' || c_custkey subject, 'urn:csv:prop:{c}' predicate, {c}::varchar as object from customer where {c}::varchar <> ''" for c in ("c_name", "c_nationkey", "c_mktsegment")))
-def src5_table_to_triples(spark, sf):
-    return files.unpivoted(star.table(spark, sf, "customer").drop("c_acctbal"), "customer.csv")
+CSV_SQL = " union all ".join(f"select 'urn:csv:customer.csv:' || c_custkey subject, 'urn:csv:prop:{c}' predicate, {x} as object from customer where {c} is not null" for c, x in (("c_name", "c_name"), ("c_nationkey", "c_nationkey::varchar"), ("c_mktsegment", "c_mktsegment"), ("c_acctbal", "c_acctbal::decimal(18,2)::varchar")))
+
+
+def csv_folder(spark: SparkSession, sf: str, encoding: str = "utf-8", **columns) -> str:
+    """Customers as CSV under a path that ends in customer.csv."""
+    path = f"{_folder(spark, 'csv')}/customer.csv"
+    c = star.table(spark, sf, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)")).withColumns(columns)
+    c.write.option("header", True).option("encoding", encoding).csv(path)
+    return path
+
+
+@query(CSV_SQL)
+def src5_csv_triples(spark, sf):
+    return files.csv_triples(spark, csv_folder(spark, sf))
+
+
+@query(CSV_SQL)
+def src10_file_by_extension(spark, sf):
+    return files.ingestable(spark, csv_folder(spark, sf))
+
+
+@query("select 'urn:csv:customer.csv:' || c_custkey subject, c_name || ' é' as object from customer")
+def src18_csv_encoding(spark, sf):
+    """Latin-1, which is told from UTF-8 by its bytes."""
+    got = files.csv_triples(spark, csv_folder(spark, sf, "iso-8859-1", c_name=F.concat("c_name", F.lit(" é"))))
+    return got.where("predicate = 'urn:csv:prop:c_name'").select("subject", "object")
 
 
 @query(f"select {NATION} s, '{PROP}n_name' p, n_name o, 'lit' o_kind from nation union all select {NATION}, '{PROP}n_regionkey', {node('region', 'n_regionkey')}, 'iri' from nation")
@@ -77,12 +100,17 @@ def src9_nquads_files(spark, sf):
     return rdf.read_nquads(spark, _text(spark, rdf.to_nquads(quads), "nquads")).select("g", "s", "p", "o", "o_kind")
 
 
-def _text(spark: SparkSession, lines: DataFrame, name: str) -> str:
-    """Writes a text file in the shared folder; its path."""
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
     import uuid
 
     durable(spark.range(1))  # sets the folder where it is unset
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _text(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    """Writes a text file in the shared folder; its path."""
+    path = _folder(spark, name)
     lines.write.text(path)
     return path
 
@@ -127,9 +155,15 @@ def src20_json_documents(spark, sf):
     return files.json_triples(docs, "j")
 
 
-@query(r"""select doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z.]+@[0-9a-z.]+[a-z]')) as found from documents""")
-def src24_regex_source(spark, sf):
-    return star.table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z.]+@[0-9a-z.]+[a-z]"), F.lit(0))).alias("found"))
+DC = "http://purl.org/dc/elements/1.1/"
+
+
+@query(f"""with d as (select strftime(ts, '%Y-%m-%d') d, event_type || ' by ' || user_id x from events)
+select 'http://' || 'quadloom.local/memory/' || md5(d || '|' || x) subject, '{DC}date' predicate, '"' || d || '"' as object from d union all select 'http://' || 'quadloom.local/memory/' || md5(d || '|' || x), '{DC}description', '"' || x || '"' from d""")
+def src24_memory_lines(spark, sf):
+    """Every event as a line of a memory file, among lines that are none."""
+    line = F.concat(F.lit("# notes\n- "), F.date_format("ts", "yyyy-MM-dd"), F.lit(": "), "event_type", F.lit(" by "), F.col("user_id").cast("string"), F.lit("\n- no date\n"))
+    return files.memory_lines(star.table(spark, sf, "events").select(line.alias("text")), "text")
 
 
 # Store
@@ -237,7 +271,9 @@ def ag1_degrees(spark, sf):
 
 @query(f"with e as ({EDGES}) select s, p, o from e where p like '%nation%'")
 def flt1_edge_filter(spark, sf):
-    return graph.directed(star.quads(spark, sf, "o_custkey", "c_nationkey", "n_regionkey")).where(F.col("p").contains("nation")).select(F.col("node").alias("s"), "p", F.col("next").alias("o"))
+    quads = star.quads(spark, sf, "o_custkey", "c_nationkey", "n_regionkey")
+    starts = quads.select("s").distinct()
+    return graph.bfs(quads, starts, 1, edge_filter="nation").select(F.col("start").alias("s"), F.col("edge_type").alias("p"), F.col("node").alias("o"))
 
 
 @query(f"select 'urn:csv:nation.csv:' || n_nationkey start, {SUPPLIER} node, '{PROP}s_nationkey' edge_type, 1 depth, 1.0::double score from nation join supplier on s_nationkey = n_nationkey")
@@ -375,9 +411,11 @@ def rs4_symmetric(spark, sf):
     return reason.materialise(edges.unionByName(_declared(spark, ("urn:near", t.RDF_TYPE, t.OWL + "SymmetricProperty"))), "owlrl")
 
 
-@query("select count(*) n from region where false")
-def rs1_none(spark, sf):
-    return reason.materialise(star.quads(spark, sf, "c_nationkey"), "none").agg(F.count("*").alias("n"))
+@query("select 'none' strategy, 0::bigint n union all select 'rdfs', count(*) from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey union all select 'rdfs', 0 where false")
+def rs1_strategies(spark, sf):
+    """How much each strategy adds; orders below customers below nations, without the regions."""
+    quads = star.quads(spark, sf, "o_custkey", "c_nationkey").withColumn("p", F.lit(reason.SUBCLASS))
+    return reduce(DataFrame.unionByName, (reason.materialise(quads, k).agg(F.lit(k).alias("strategy"), F.count("*").alias("n")) for k in ("none", "rdfs"))).select("strategy", "n")
 
 
 def _ontology(spark) -> DataFrame:
@@ -411,6 +449,20 @@ def rs15_extended_rules(spark, sf):
     return reason.infer(spo(star.quads(spark, sf, "c_nationkey", typed=("customer",))), _ontology(spark))
 
 
+@query(f"""with o as (select {ORDER} o, {node('customer', 'o_custkey')} c, {node('nation', 'c_nationkey')} n from orders join customer on o_custkey = c_custkey)
+select 'transitive' rule, o s, 'urn:within' p, n o from o
+union all select 'symmetric', c, 'urn:near', o from o
+union all select 'subclass', o, '{reason.SUBCLASS}', n from o""")
+def rs9_rs11_rs13_rules(spark, sf):
+    """Transitive, symmetric and subclass rules, each over every order."""
+    edges = star.quads(spark, sf, "o_custkey", "c_nationkey").select("s", "p", "o")
+    orders = edges.where(F.col("p") == PROP + "o_custkey")
+    named = lambda df, p: df.select("s", F.lit(p).alias("p"), "o")
+    triples = reduce(DataFrame.unionByName, (named(edges, "urn:within"), named(orders, "urn:near"), named(edges, reason.SUBCLASS)))
+    ontology = spark.createDataFrame([("urn:within", t.RDF_TYPE, t.OWL + "TransitiveProperty"), ("urn:near", t.RDF_TYPE, t.OWL + "SymmetricProperty")], "s string, p string, o string")
+    return reason.infer(triples, ontology, ["transitive", "symmetric", "subclass"])
+
+
 @query(f"with i as ({EXTENDED}), n as (select 2 * count(*) n from customer), m as (select count(*) m from i) select rule, count(*) inferred, round((n + m) / n::double, 9) expansion_ratio from i, n, m group by rule, n, m")
 def ag6_inference_report(spark, sf):
     triples = spo(star.quads(spark, sf, "c_nationkey", typed=("customer",)))
@@ -458,9 +510,12 @@ def dq3_merge_suggestions(spark, sf):
     return quality.suggest_merges(names, "x", 0.8).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-@query("select x, m as match from (values ('customer', 'http://quadloom.local/class/customer'), ('PARTNER', 'http://quadloom.local/class/party'), ('other', null)) v(x, m)")
+@query("""select c_custkey, case when c_custkey % 4 = 0 then 'http://quadloom.local/class/customer' when c_custkey % 4 = 1 then 'http://quadloom.local/class/party' when c_custkey % 4 = 2 then 'http://quadloom.local/class/nation' end as match from customer""")
 def dq4_match_class(spark, sf):
-    return quality.match_class(spark.createDataFrame([("customer",), ("PARTNER",), ("other",)], "x string"), "x", _vocabulary(spark))
+    """Terms of every customer: a name, a label in another case, a name in another case, and what is neither."""
+    k = F.col("c_custkey") % 4
+    term = F.when(k == 0, "customer").when(k == 1, "PARTNER").when(k == 2, "nAtion").otherwise(F.col("c_mktsegment"))
+    return quality.match_class(star.table(spark, sf, "customer").select("c_custkey", term.alias("x")), "x", _vocabulary(spark)).select("c_custkey", "match")
 
 
 @query("select 'http://quadloom.local/class/' || k iri, k as name, lbl label from (values ('customer', null), ('supplier', null), ('party', 'Partner'), ('agent', null), ('nation', null), ('region', null), ('place', null)) v(k, lbl)")
@@ -469,9 +524,13 @@ def dq5_class_catalog(spark, sf):
     return quality.labelled(o, quality.classes(o))
 
 
-@query("select 7::bigint classes, 6::bigint properties, 22::bigint triples")
+@query("select (select count(distinct p_type) from part) classes, (select count(distinct p_brand) from part) properties, (select count(distinct p_type) + count(distinct p_brand) from part) + (select count(*) from part) triples")
 def ag10_ontology_stats(spark, sf):
-    return quality.ontology_stats(_ontology(spark))
+    """Part types as classes, brands as properties, parts as their instances."""
+    p = star.table(spark, sf, "part")
+    kind = lambda c, o: p.select(F.concat(F.lit(f"urn:{c}:"), c).alias("s"), F.lit(t.RDF_TYPE).alias("p"), F.lit(o).alias("o")).distinct()
+    own = p.select(star.node("part", "p_partkey").alias("s"), F.lit(t.RDF_TYPE).alias("p"), F.concat(F.lit("urn:p_type:"), "p_type").alias("o"))
+    return quality.ontology_stats(kind("p_type", t.OWL + "Class").unionByName(kind("p_brand", t.OWL + "ObjectProperty")).unionByName(own))
 
 
 @query(f"select {CUSTOMER} iri from customer")
@@ -479,10 +538,15 @@ def dq5_instances(spark, sf):
     return quality.instances(spo(star.quads(spark, sf, "c_nationkey", typed=("customer",))), star.CLASS + "customer")
 
 
-@query("select event_type signal, sum(case when event_type = 'error' then -0.5 else 0 end)::double total from events group by 1 union all select null, sum(case when event_type = 'error' then -0.5 else 0 end)::double from events")
+SIGNAL = "case event_type when 'purchase' then 'user_positive' when 'error' then 'error' when 'view' then 'token_usage' else event_type end"
+
+
+@query(f"""with r as (select {SIGNAL} signal, case {SIGNAL} when 'user_positive' then 2.0 when 'error' then -0.5 when 'token_usage' then -0.01 * coalesce(value, 0) / 100 else 0 end r from events)
+select signal, round(sum(r)::double, 4) total from r group by 1 union all select null, round(sum(r)::double, 4) from r""")
 def ag8_rewards(spark, sf):
-    e = star.table(spark, sf, "events")
-    return quality.reward_breakdown(quality.reward_events(e, "event_type", F.col("value")), "event_type").withColumnRenamed("event_type", "signal")
+    signal = F.when(F.col("event_type") == "purchase", "user_positive").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "token_usage").otherwise(F.col("event_type"))
+    e = star.table(spark, sf, "events").withColumn("signal", signal)
+    return quality.reward_breakdown(quality.reward_events(e, "signal", F.coalesce("value", F.lit(0.0))), "signal").withColumn("total", F.round("total", 4))
 
 
 def _sessions(spark, sf) -> DataFrame:
@@ -531,12 +595,11 @@ def sc13_header_rules(spark, sf):
     return tx.row_triples(star.table(spark, sf, "part").select("p_partkey", "p_type", "p_name", "p_brand"))
 
 
-@query("select 'c' || c_custkey subject, 'in_segment' predicate, lower(c_mktsegment) as object from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
+@query("""select 'urn:market' subject, 'has_segment' predicate, k as object from customer, (values ('building'), ('machinery'), ('customer_00')) v(k) where contains(lower(c_mktsegment || ' ' || c_name), lower(k)) union all select 'urn:market', 'has_segment', 'customer#' from customer where contains(lower(c_mktsegment || ' ' || c_name), 'customer#')""")
 def sc11_keyword_rules(spark, sf):
-    c = star.table(spark, sf, "customer")
-    parts = [tx.keyword_triples(c.where(F.col("c_mktsegment") == k.upper()), "c_mktsegment", {k: ("x", "in_segment", k)}) for k in ("building", "machinery")]
-    keyed = [c.where(F.col("c_mktsegment") == k.upper()).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("subject")).crossJoin(F.broadcast(p.select("predicate", "object").distinct())) for k, p in zip(("building", "machinery"), parts)]
-    return keyed[0].unionByName(keyed[1])
+    """Rules over every customer's segment and name; a rule fires for each text that holds its keyword."""
+    rules = {k.upper(): ("urn:market", "has_segment", k) for k in ("building", "machinery", "customer_00", "customer#")}
+    return tx.keyword_triples(star.table(spark, sf, "customer").select(F.concat_ws(" ", "c_mktsegment", "c_name").alias("text")), "text", rules)
 
 
 @query("""with c as (select 'urn:doc:' || c_custkey d, 'About ' || c_mktsegment h, * from customer)
@@ -572,9 +635,15 @@ def sc9_rendered_pages(spark, sf):
     return star.table(spark, sf, "pages").select("page_id", tx.render_html("html").alias("text"))
 
 
-@query("select p_partkey, 'p_size' closest from part")
+@query("select c_custkey, c_mktsegment closest from customer where c_custkey % 3 <> 0 union all select c_custkey, null from customer where c_custkey % 3 = 0")
 def tk10_closest_string(spark, sf):
-    return star.table(spark, sf, "part").select("p_partkey", quality.closest(["p_size", "p_name", "n_name"])(F.lit("p_sise")).alias("closest"))
+    """Every customer's segment with a letter doubled or lost is brought back; digits are close to none."""
+    c = star.table(spark, sf, "customer")
+    k = F.col("c_custkey") % 3
+    seg = F.col("c_mktsegment")
+    wrong = F.when(k == 1, F.concat(F.substring(seg, 1, 3), F.substr(seg, F.lit(3)))).when(k == 2, F.concat(F.substring(seg, 1, 2), F.substr(seg, F.lit(4)))).otherwise(F.lit("0123456789"))
+    known = [r[0] for r in c.select("c_mktsegment").distinct().collect()]  # a handful of segments
+    return c.select("c_custkey", quality.closest(known)(wrong).alias("closest"))
 
 
 @query("select p_partkey, (lower(p_name) like '%ring%' or lower(p_name) like '%bolt%') as known from part")

@@ -111,3 +111,9 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["snk12_result_json"] = _json
 SQL["snk12_result_json"] = """select '{"?n":"<urn:csv:nation.csv:' || n_nationkey || '>","?name":"\\"' || n_name || '\\""}' binding from nation where n_regionkey = 1"""
+add("fn1_bound_and_same", "n_name n_regionkey", "SELECT ?n ?b ?s ?k WHERE { ?n p:n_name ?x OPTIONAL { ?n p:n_regionkey region:1 . BIND(?n AS ?m) } BIND(BOUND(?m) AS ?b) BIND(sameTerm(?n, nation:3) AS ?s) BIND(isBlank(?n) AS ?k) }", f"select {NATION} n, {true('n_regionkey = 1')} b, {true('n_nationkey = 3')} s, {true('false')} k from nation")
+add("fn2_languages", "n_name", 'SELECT ?n ?l ?e ?m WHERE { ?n p:n_name ?x BIND(STRLANG(?x, "en-GB") AS ?t) BIND(LANG(?t) AS ?l) BIND(LANG(?x) AS ?e) BIND(langMatches(LANG(?t), "EN") AS ?m) }', f"""select {NATION} n, '"en-gb"' l, '""' e, {true('true')} m from nation""")
+add("fn2_fresh_terms", "n_name", "SELECT ?n ?b ?u ?s ?d WHERE { ?n p:n_name ?x BIND(isBlank(BNODE(?x)) AS ?b) BIND(isIRI(UUID()) AS ?u) BIND(STRLEN(STRUUID()) AS ?s) BIND(sameTerm(BNODE(?x), BNODE(?x)) AS ?d) }", f"select {NATION} n, {true('true')} b, {true('true')} u, {typed('36')} s, {true('true')} d from nation")
+add("fn5_times", "o_orderdate", "SELECT ?o ?d ?h ?i ?s ?z WHERE { ?o p:o_orderdate ?t BIND(DAY(?t) AS ?d) BIND(HOURS(?t) AS ?h) BIND(MINUTES(?t) AS ?i) BIND(SECONDS(?t) AS ?s) BIND(TZ(?t) AS ?z) }", f"select {ORDER} o, {typed('day(o_orderdate)')} d, {typed('hour(o_orderdate)')} h, {typed('minute(o_orderdate)')} i, {typed('second(o_orderdate)', 'decimal')} s, '\"Z\"' z from orders")
+add("fn6_sha1", "n_name", "SELECT ?n ?a WHERE { ?n p:n_name ?x BIND(SHA1(?x) AS ?a) }", f"select {NATION} n, {lit('sha1(n_name)')} a from nation")
+add("fn8_more_casts", "p_size", "SELECT ?p ?d ?f ?b WHERE { ?p p:p_size ?z BIND(DATATYPE(xsd:double(?z)) AS ?d) BIND(DATATYPE(xsd:decimal(?z)) AS ?f) BIND(xsd:boolean(?z - ?z) AS ?b) }", f"select {PART} p, '<{XSD}double>' d, '<{XSD}decimal>' f, {true('false')} b from part")

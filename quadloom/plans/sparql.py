@@ -289,7 +289,16 @@ class Translator:
 
     def join(self, left: Solutions, right: Solutions) -> Solutions:
         r, shared, condition = self.matched(left, right)
-        df = left.df.join(r, condition, "inner") if shared else left.df.crossJoin(r)
+        loose = [v for v in shared if v not in left.bound or v not in right.bound]
+        if not shared:
+            df = left.df.crossJoin(r)
+        elif not loose:
+            df = left.df.join(r, condition, "inner")
+        else:  # rows that have all the shared variables meet by equality; only the others need the condition that lets nulls pass
+            has = lambda tail: reduce(Column.__and__, (c(v + tail).isNotNull() for v in loose))
+            equal = reduce(Column.__and__, (c(v) == c(v + "'") for v in shared))
+            whole = left.df.where(has("")).join(r.where(has("'")), equal, "inner")
+            df = whole.unionByName(left.df.where(has("")).join(r.where(~has("'")), condition, "inner")).unionByName(left.df.where(~has("")).join(r, condition, "inner"))
         return Solutions(self.merged(df, left, right, shared), left.bound | right.bound)
 
     def left_join(self, left: Solutions, right: Solutions, expression) -> Solutions:
@@ -494,7 +503,8 @@ class Translator:
             return Value("term", F.concat(F.lit('"'), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.lit(f'"^^<{t.XSD}dateTime>')))
         if n in ("YEAR", "MONTH", "DAY", "HOURS", "MINUTES", "SECONDS"):
             place = {"YEAR": r"^(-?\d{4,})-", "MONTH": r"^-?\d{4,}-(\d\d)", "DAY": r"^-?\d{4,}-\d\d-(\d\d)", "HOURS": r"T(\d\d):", "MINUTES": r"T\d\d:(\d\d)", "SECONDS": r"T\d\d:\d\d:(\d\d(?:\.\d+)?)"}[n]
-            return Value("num" if n == "SECONDS" else "int", F.regexp_extract(s, place, 1).try_cast("double"))
+            v = Value("int", F.regexp_extract(s, place, 1).try_cast("double"))
+            return v if n != "SECONDS" else self.cast(t.XSD + "decimal", Value("num", v.col))
         if n == "TZ":
             return Value("str", F.when(s.isNotNull(), F.regexp_extract(s, r"(Z|[+-]\d\d:\d\d)$", 1)))
         if n == "TIMEZONE":
@@ -516,7 +526,7 @@ class Translator:
             return Value("bool", F.when(n.isNotNull(), n != 0).when(s.isin("true", "1"), True).when(s.isin("false", "0"), False))
         if to in NUMERIC:
             v = F.when(x.truth().isNotNull() & F.lit(x.kind == "bool"), x.truth().cast("double")).otherwise(s.try_cast("double")) if x.kind == "bool" else s.try_cast("double")
-            return Value("int", F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)).cast("double")) if to == t.XSD + "integer" else Value("num", v)
+            return Value("int", F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)).cast("double")) if to == t.XSD + "integer" else Value("term", F.regexp_replace(Value("num", v).term(), r"\^\^<[^<>]*>$", f"^^<{to}>"))
         if to == t.XSD + "dateTime":
             return Value("term", F.when(s.rlike(r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?$"), F.concat(F.lit('"'), s, F.lit(f'"^^<{to}>'))))
         raise a.SparqlError(f"unknown cast {to}")

@@ -18,8 +18,17 @@ from quadloom.sources import rdf
 CSV_SUBJECT, CSV_PROPERTY = "urn:csv:", "urn:csv:prop:"
 
 
-def csv_triples(spark: SparkSession, path: str, encoding: str = "utf-8", max_rows: int | None = None) -> DataFrame:
-    """subject urn:csv:<file>:<first column>, predicate urn:csv:prop:<header>, object the field; empty fields are skipped."""
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """utf-8, or latin-1 where any line is not valid UTF-8."""
+    return "utf-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "iso-8859-1"
+
+
+def csv_triples(spark: SparkSession, path: str, encoding: str | None = None, max_rows: int | None = None) -> DataFrame:
+    """subject urn:csv:<file>:<first column>, predicate urn:csv:prop:<header>, object the field; empty fields are skipped.
+
+    Without an encoding it is UTF-8, or latin-1 where the file is not that.
+    """
+    encoding = encoding or encoding_of(spark, path)
     df = spark.read.option("encoding", encoding).option("multiLine", True).csv(path, header=True)
     df = df.limit(max_rows) if max_rows else df
     return unpivoted(df, posixpath.basename(path))
@@ -124,14 +133,21 @@ class OntologyRegistry:
                 s["enabled"] = enabled
         self.save()
 
-    def load(self, spark: SparkSession) -> DataFrame:
-        """Quads of all sources in use."""
+    def load(self, spark: SparkSession, folder: str | None = None, fetch=None) -> DataFrame:
+        """Quads of all sources in use; those by URL are downloaded into ``folder`` first."""
         from quadloom.functions.terms import empty_quads
+        from quadloom.sources import exchange
 
         out = empty_quads(spark)
         for s in self.sources:
-            if s["enabled"] and s["type"] == "file":
-                out = out.unionByName(rdf.parse_files(spark, s["path"], None)[0])
+            if not s["enabled"]:
+                continue
+            path = s["path"]
+            if s["type"] == "url":
+                if folder is None:
+                    raise ValueError(f"a folder is needed to download {path}")
+                path = exchange.download(path, folder, fetch=fetch or exchange.http_get)
+            out = out.unionByName(rdf.parse_files(spark, path, None)[0])
         return out.distinct()
 
 
@@ -157,21 +173,36 @@ def manifest(root: str, name: str) -> dict:
         return json.load(f)
 
 
-def install_scenario(spark: SparkSession, root: str, name: str, to: str, ns: str = "default") -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """Copies what a scenario's manifest lists; (quads, chunks, counts) of its ontologies, data files and documents."""
-    from quadloom.functions.terms import empty_quads, triples_to_quads
+def install_scenario(spark: SparkSession, root: str, name: str, to: str, ns: str = "default", base_url: str | None = None, fetch=None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Copies what a scenario's manifest lists; (quads, chunks, counts) of its ontologies, data files and documents.
 
-    m = manifest(root, name)
+    What is not under ``root`` is fetched from below ``base_url``, if there is one, and else left out. ``to`` must be a
+    folder that all executors see.
+    """
+    from quadloom.functions.terms import empty_quads, triples_to_quads
+    from quadloom.sources import exchange
+
+    fetch = fetch or exchange.http_get
+    if not os.path.exists(os.path.join(root, name, "manifest.json")) and base_url:
+        os.makedirs(os.path.join(to, name), exist_ok=True)
+        m = json.loads(fetch(f"{base_url}/{name}/manifest.json"))
+    else:
+        m = manifest(root, name)
     quads, chunks = empty_quads(spark), None
     for folder, key in (("schema", "ontologies"), ("data", "data_files"), ("docs", "docs")):
         for file in m.get(key, []):
             if os.path.isabs(file) or ".." in file.split("/"):
                 raise ValueError(f"path leaves the scenario: {file!r}")
             source = next((p for p in (os.path.join(root, name, folder, file), os.path.join(root, name, file)) if os.path.exists(p)), None)
-            if source is None:
-                continue
             os.makedirs(os.path.join(to, name, folder), exist_ok=True)
-            place = shutil.copy(source, os.path.join(to, name, folder, os.path.basename(file)))
+            place = os.path.join(to, name, folder, os.path.basename(file))
+            if source is not None:
+                shutil.copy(source, place)
+            elif base_url:
+                with open(place, "wb") as f:
+                    f.write(fetch(f"{base_url}/{name}/{folder}/{file}"))
+            else:
+                continue
             if key == "docs":
                 part = tx.with_chunks(_whole(spark, place), "text", F.col("path"), kind="doc_chunk")
                 chunks = part if chunks is None else chunks.unionByName(part)
