@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[128:] = True
@@ -147,7 +147,8 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def release() -> None:
-    """Returns freed memory to the system; glibc and Arrow keep it otherwise."""
+    """Drops what is cheap to make again and returns freed memory to the system; glibc and Arrow keep it otherwise."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

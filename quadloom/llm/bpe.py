@@ -18,6 +18,7 @@ per row. Other columns are kept only where named in ``keep``. Text of any length
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,10 +33,11 @@ from quadloom.llm.arrowtext import list_array, mapped, raw, slices
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 DEFAULT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_FRAGMENTS = 1 << 17
+#: What a worker keeps of fragments it has encoded; no result depends on it.
+CACHED_FRAGMENTS = 1 << 16
+CACHED_IDS = 1 << 18
 CACHED_BYTES = 64
-SLICE_IDS = 1 << 19
-
+SLICE_IDS = 1 << 18
 
 
 def _pattern_breaks() -> np.ndarray:
@@ -59,28 +61,39 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Fragments(dict):
-    """Fragment -> row of the id table; what is missing gets encoded."""
+    """Fragment -> row of the id table; what is missing gets encoded.
+
+    Ids are kept as numbers in one array. Fragments of at most CACHED_BYTES stay, up to CACHED_FRAGMENTS of them and
+    CACHED_IDS ids; longer ones get a negative row in a table of their own, which holds one slice's.
+    """
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
-        self.ids: list[list[int]] = []
-        self.flat, self.base = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.ends = array("i"), array("q", [0])
+        self.once()
+
+    def once(self) -> None:
+        self.long, self.long_ends = array("i"), array("q", [0])
+
+    def full(self) -> bool:
+        return len(self) >= CACHED_FRAGMENTS or len(self.flat) >= CACHED_IDS
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows in one array, and each row's bounds."""
-        new = self.ids[len(self.base) - 1 :]
-        if new:
-            sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in new for i in ids), dtype=np.int32, count=int(sizes.sum()))])
-            self.base = np.concatenate([self.base, self.base[-1] + np.cumsum(sizes)])
-        return self.flat, self.base
+        """Ids of all rows in one array, and each row's bounds; long fragments' after the others."""
+        flat = np.concatenate([np.frombuffer(self.flat, np.int32), np.frombuffer(self.long, np.int32)])
+        ends = np.concatenate([np.frombuffer(self.ends, np.int64), len(self.flat) + np.frombuffer(self.long_ends, np.int64)[1:]])
+        return flat, ends
 
     def __missing__(self, fragment: bytes) -> int:
-        self.ids.append(self.encode(fragment))
-        at = len(self.ids) - 1
-        if len(fragment) <= CACHED_BYTES:
-            self[fragment] = at
+        ids = self.encode(fragment)
+        if len(fragment) > CACHED_BYTES:
+            self.long.extend(ids)
+            self.long_ends.append(len(self.long))
+            return 1 - len(self.long_ends)
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        at = self[fragment] = len(self.ends) - 2
         return at
 
 
@@ -105,6 +118,10 @@ class ForcedBoundaryBPE:
         self.lengths = np.array([len(t) for t in table], dtype=np.int64)
         self.places = np.concatenate([[0], np.cumsum(self.lengths)])
         self.bytes = np.frombuffer(b"".join(table), dtype=np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the encoded fragments; workers outlive their tasks and would keep them."""
         self.fragments = _Fragments(self.encode_fragment)
 
     def cuts(self, data: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -146,9 +163,11 @@ class ForcedBoundaryBPE:
         buffer, ends = data.tobytes(), at.tolist()
         cache = self.fragments
         rows = np.fromiter((cache[buffer[a:b]] for a, b in zip(ends, ends[1:])), dtype=np.int64, count=max(len(ends) - 1, 0))
+        rows = np.where(rows < 0, len(cache.ends) - 2 - rows, rows)
         out, bounds = gather(*cache.table(), rows)
-        if len(cache) > CACHED_FRAGMENTS or len(cache.ids) > 2 * CACHED_FRAGMENTS:
-            self.fragments = _Fragments(self.encode_fragment)
+        cache.once()
+        if cache.full():
+            self.forget()
         return out, bounds[np.searchsorted(at, offsets)]
 
     def decode_rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +179,9 @@ def gather(flat: np.ndarray, base: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     """Concatenated flat[base[r]:base[r+1]] for r in rows, with bounds."""
     sizes = base[rows + 1] - base[rows]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    where = np.repeat(base[rows] - bounds[:-1], sizes) + np.arange(bounds[-1])
+    place = np.int32 if max(len(flat), int(bounds[-1])) < (1 << 31) else np.int64
+    where = np.arange(bounds[-1], dtype=place)
+    where += np.repeat((base[rows] - bounds[:-1]).astype(place), sizes)
     return flat[where], bounds
 
 
@@ -187,6 +208,7 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=null) if missing[i:j].any() else list_array(ids, bounds, pa.int32())
                 counts = pa.array(np.diff(bounds).astype(np.int32), mask=missing[i:j])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keep))), lists, counts], names=[*names, "token_ids", "n_tokens"])
+        codec.forget()
 
     names = [f"k{i}" for i in range(len(keep))]
     source = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(text).cast("string").alias("text"))
@@ -241,6 +263,7 @@ def round_trip(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pa.array(missing[i:j])) if missing[i:j].any() else list_array(ids, bounds, pa.int32())
                 kept = (batch.column(k).slice(i, j - i) for k in range(len(keep)))
                 yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(np.diff(bounds).astype(np.int32), mask=missing[i:j]), same], names=schema.names)
+        codec.forget()
 
     source = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).cast("string").alias("text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("token_ids", T.ArrayType(T.IntegerType(), True)), T.StructField("n_tokens", T.IntegerType()), T.StructField("lossless", T.BooleanType())])
