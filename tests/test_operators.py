@@ -307,3 +307,75 @@ def test_streamed_ingest_and_inference(spark, tmp_path):
     renamed = stream.toDF("s", "p", "o")
     streams.infer(renamed, onto, lambda df, n: seen.extend(rows(df)), f"{tmp_path}/c2", ["transitive"]).awaitTermination()
     assert [r[1:] for r in seen] == [("x", "p", "z")]
+
+
+def test_arguments_are_checked_before_a_call(spark, tmp_path):
+    from quadloom.functions import arguments
+
+    e = Engine(spark, str(tmp_path / "store"), dimension=8)
+    with pytest.raises(arguments.InvalidArguments) as bad:
+        e.call("get_neighbors", {"direction": "up"})
+    assert bad.value.code == -32602 and len(bad.value.problems) == 2
+    with pytest.raises(arguments.InvalidArguments) as none:
+        e.call("fly", {})
+    assert none.value.code == -32601
+    assert arguments.problems("list_triples", {"limit": True}) == ["limit has the wrong type"]
+    assert e.call("ingest_triples", {"triples": [{"subject": "http://a", "predicate": P, "object": "http://b"}]}) == 1
+    assert e.size() == 4 and e.call("get_node_degree", {"uri": "http://a"}) == 1
+
+
+def test_pages_notes_and_files_of_vectors(spark, tmp_path):
+    import json
+
+    from quadloom.sources import exchange, files
+
+    e = Engine(spark, str(tmp_path / "store"), dimension=8)
+    assert e.ingest_url("http://x", fetch=lambda url: b"<p>some words</p>") == 1
+    with pytest.raises(ValueError):
+        exchange.http_get("file:///etc/hosts")
+    with pytest.raises(ValueError):
+        files.save_ontology("../x", "", str(tmp_path))
+    whole = {"entries": [{"key": "a", "embedding": [1.0, 2.0], "metadata_json": '{"uri": "u"}'}, {"key": "b", "embedding": [1.0], "metadata_json": "{}"}]}
+    (tmp_path / "vectors.json").write_text(json.dumps(whole))
+    assert [(r["key"], r["uri"]) for r in exchange.read_vectors(spark, str(tmp_path / "vectors.json"), 2).collect()] == [("a", "u")]
+    (tmp_path / "odd.json").write_text("no json")
+    assert exchange.read_vectors(spark, str(tmp_path / "odd.json"), 2).collect() == []
+    assert exchange.read_ids(spark, str(tmp_path / "none.json"))[1] == 1
+    notes = spark.createDataFrame([("1", None, None), (None, "x", "y")], "id string, title string, url string")
+    assert [r["object"] for r in exchange.note_triples(notes).collect()] == ['"Untitled"', "http://schema.org/Note"]
+
+
+def test_a_table_whose_replacement_broke_off_is_restored(spark, tmp_path):
+    s = store.QuadStore(spark, str(tmp_path / "store"), dimension=8)
+    s.add_quads(quads(spark, ("http://a", P, "http://b")))
+    path = tmp_path / "store" / "ns=default" / "quads"
+    path.rename(str(path) + ".old")
+    assert s.read("quads").count() == 1 and path.exists()
+
+
+def test_nearest_join_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(700, 6)).astype(np.float32)
+    x[100:140] = x[3]
+    rows = [(f"k{i:03d}", [float(v) for v in x[i]]) for i in range(700)] + [("odd", [1.0]), ("none", None), ("nan", [float("nan")] * 6)]
+    table = spark.createDataFrame(rows, "key string, embedding array<float>")
+    asked = spark.createDataFrame([(i, rows[i][1]) for i in range(0, 140, 7)] + [(900, [1.0]), (None, rows[0][1]), (901, None)], "q long, embedding array<float>")
+    for metric, block in (("l2", 8), ("l2", None), ("cosine", None)):
+        got = {}
+        for n in vectors.nearest_join(asked, table, 5, "q", "embedding", metric=metric, block=block).orderBy("q", "rank").collect():
+            got.setdefault(n["q"], []).append(n["key"])
+        y = x.astype(np.float64)
+        for i in range(0, 140, 7):
+            d = np.floor(np.sqrt(((y - y[i]) ** 2).sum(1)) * 1e6) if metric == "l2" else -np.round(y @ y[i] / np.sqrt((y * y).sum(1)) / np.sqrt((y[i] ** 2).sum()), 12)
+            want = [f"k{k:03d}" for k in sorted(range(700), key=lambda k: (d[k], k))[:5]]
+            assert got[i] == want or metric == "cosine" and set(got[i]) <= {f"k{k:03d}" for k in np.flatnonzero(d <= np.sort(d)[4] + 1e-9)}
+        assert got[900] == ["odd"] and set(got) == {*range(0, 140, 7), 900}
+
+
+def test_ingestion_of_nothing_and_of_what_is_known(spark, tmp_path):
+    ontology = spark.createDataFrame([("http://p", t.RDF_TYPE, t.RDF + "Property")], "s string, p string, o string")
+    e = Engine(spark, str(tmp_path / "store"), dimension=8)
+    none = triples(spark, ("http://a", "http://p", "x")).where("false")
+    assert e.ingest_pipeline(none, ontology) == {"status": "empty", "stored": 0}
+    one_row = triples(spark, ("http://a", "http://p", "x"))
+    assert e.ingest_pipeline(one_row, ontology)["stored"] == 1 and e.ingest_pipeline(one_row, ontology)["duplicates"] == 1
