@@ -86,15 +86,16 @@ def draws(df: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     return drawn.select(*columns, "_n"), names
 
 
-def sample(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Mapping[str, float] | None = None, total: float | None = None, carry_text: bool = True) -> DataFrame:
-    """df's rows, each as often as it is drawn, with copy_no from 1; without text where carry_text is false.
+def sample(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Mapping[str, float] | None = None, total: float | None = None, carry_text: bool = True, copy_no: str | None = "copy_no") -> DataFrame:
+    """df's rows, each as often as it is drawn, with the number of the copy, from 1, in ``copy_no``; without text where carry_text is false.
 
-    A column copy_no of df gives way to the new one; others may have any name.
+    A column of df of that name gives way to the new one; others may have any name. With copy_no None the columns are df's own.
     """
-    drawn, names = draws(df.drop("copy_no"), text, key, source, weights, total, carry_text)
+    drawn, names = draws(df if copy_no is None else df.drop(copy_no), text, key, source, weights, total, carry_text)
     # No array grows with the number of copies: runs first, then the copies of each.
     runs = drawn.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_n - 1) div {RUN})")))
-    return runs.select(*drawn.columns[:-1], F.explode(F.expr(f"sequence(_run * {RUN} + 1, least(_n, (_run + 1) * {RUN}))")).alias("copy_no")).toDF(*names, "copy_no")
+    out = runs.select(*drawn.columns[:-1], F.explode(F.expr(f"sequence(_run * {RUN} + 1, least(_n, (_run + 1) * {RUN}))")).alias("_copy"))
+    return out.drop("_copy").toDF(*names) if copy_no is None else out.toDF(*names, copy_no)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ def _expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 def fit(source: DataFrame, labels: DataFrame, label: str = "quality", most: int = LABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(mean, scale, coefficients), or None without labels of both kinds; source: key, text."""
-    ids, y = labelled_sample(labels, label, most=most)
+    ids, y = labelled_sample(labels, label, source.schema["key"].dataType, most=most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -49,9 +49,13 @@ STEPS = 50
 LEAST_WEIGHT = 0.05
 
 
-def labelled_sample(labels: DataFrame, label: str, key: str = "doc_id", most: int = LABELLED) -> tuple[pa.Array, np.ndarray]:
-    """(ids in order, labels) of at most ``most`` labelled rows, those with the smallest hashes of the id; an id that is labelled both ways counts as 1."""
-    rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+def labelled_sample(labels: DataFrame, label: str, kind: T.DataType, key: str = "doc_id", most: int = LABELLED) -> tuple[pa.Array, np.ndarray]:
+    """(ids in order, labels) of at most ``most`` labelled rows, those with the smallest hashes of the id; an id that is labelled both ways counts as 1.
+
+    kind: the type of the documents' ids; ids of labels that can't be of it are those of no document.
+    """
+    typed = F.col(key) if labels.schema[key].dataType == kind else F.col(key).try_cast(kind)
+    rows = labels.select(typed.alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null")
     chosen = rows.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
     got = chosen.orderBy("k").toArrow()
     return got["k"].combine_chunks(), got["y"].to_numpy()
@@ -349,7 +353,7 @@ def calibrate(source: DataFrame, ids: pa.Array, y: np.ndarray, lexicon: np.ndarr
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """(word hashes, weights, threshold)."""
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    ids, y = labelled_sample(labels, label)
+    ids, y = labelled_sample(labels, label, source.schema["key"].dataType)
     if len(ids):
         ids, y = independent(source, ids, y)
     lexicon, weights = induce(source, ids, y)
