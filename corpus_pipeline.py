@@ -34,7 +34,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come out with equal shares; a document drawn more than once is repeated."""
-    return mixing.sample(docs).drop("copy_no")
+    return mixing.sample(docs, copy_no=None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
