@@ -519,3 +519,39 @@ def em2_remote_embeddings(spark, sf):
     embed = vectors.embedder(function=lambda texts: [[float(len(x)), 1.0] for x in texts])
     got = star.table(spark, sf, "documents").select("doc_id", embed("text").alias("e"))
     return got.select("doc_id", F.col("e")[0].cast("long").alias("first"), F.col("e")[1].cast("double").alias("second"))
+
+
+@query("select 'urn:n:' || n_nationkey s, 'urn:in' p, 'urn:r:' || n_regionkey o from nation")
+def src13_downloaded_ontology(spark, sf):
+    """An ontology by URL, saved under a plain name and loaded; a name that leaves the folder is refused."""
+    nations = star.table(spark, sf, "nation").collect()  # 25 rows
+    lines = "".join(f"<urn:n:{r['n_nationkey']}> <urn:in> <urn:r:{r['n_regionkey']}> .\n" for r in nations)
+    at = _plain(folder(spark, "downloads"))
+    path = exchange.download("http://names.example/nations.ttl", at, "nations.ttl", lambda url: lines.encode())
+    try:
+        exchange.download("http://names.example/nations.ttl", at, "../nations.ttl", lambda url: lines.encode())
+    except ValueError:
+        return rdf.parse_files(spark, path, None)[0].select("s", "p", "o")
+    raise AssertionError("a path was taken for a name")
+
+
+@query("select 'urn:n:' || n_nationkey s, 'urn:in' p, 'urn:r:' || n_regionkey o from nation union all select 'urn:csv:nations.csv:' || n_nationkey, 'urn:csv:prop:name', 'http://' || 'quadloom.local/' || n_name from nation")
+def src14_remote_scenario(spark, sf):
+    """A scenario that is not at hand, fetched file by file from its address."""
+    root, name = _scenario(spark, sf)
+
+    def fetch(url: str) -> bytes:
+        with open(url.replace("http://scenarios.example", root), "rb") as f:
+            return f.read()
+
+    to = _plain(folder(spark, "installed"))
+    quads, chunks, counts = files.install_scenario(spark, _plain(folder(spark, "nothing")), name, to, base_url="http://scenarios.example", fetch=fetch)
+    assert counts == {"ontologies": 1, "data_files": 1, "docs": 1} and chunks.count() == 1, counts
+    return quads.select("s", "p", "o")
+
+
+@query("select least(500, n - 500 * k)::bigint n from (select count(*) n from part), generate_series(0, 1000000) g(k) where 500 * k < n")
+def src23_client_batches(spark, sf):
+    """A client's rows in calls of at most 500."""
+    keys = [r[0] for r in star.table(spark, sf, "part").select("p_partkey").collect()]  # what a client holds
+    return spark.createDataFrame([(len(b),) for b in files.iter_batches(keys, 500)], "n long")
