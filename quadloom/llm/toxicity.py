@@ -40,13 +40,15 @@ from pyspark.sql import types as T
 
 from quadloom.llm.arrowtext import mapped, span_hash, word_slices
 from quadloom.llm.minhash import signatures
-from quadloom.llm.storage import written
+from quadloom.llm.storage import drop_written, written
 
 LABELLED = 50_000
 LEAST_DOCUMENTS = 3
 SEED_BOUND = 0.6
 STEPS = 50
 LEAST_WEIGHT = 0.05
+#: Words, or pairs, that a task sums up before it sends them on.
+HELD = 1 << 18
 
 
 def labelled_sample(labels: DataFrame, label: str, kind: T.DataType, key: str = "doc_id", most: int = LABELLED) -> tuple[pa.Array, np.ndarray]:
@@ -90,10 +92,10 @@ def word_counts(source: DataFrame) -> DataFrame:
             for _, _, _, h in _word_sets(batch.column("text")):
                 waiting.append(h)
                 held += len(h)
-                if held > (1 << 20):
+                if held > HELD:
                     words, counts = _added(words, counts, waiting)
                     waiting, held = [], 0
-                    if len(words) > (1 << 20):
+                    if len(words) > HELD:
                         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
                         words, counts = words[:0], counts[:0]
         words, counts = _added(words, counts, waiting)
@@ -160,34 +162,45 @@ def _wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def _with_any(source: DataFrame, reached: np.ndarray, confidence: np.ndarray) -> tuple[float, DataFrame]:
-    """Documents that hold one of reached (sorted hashes), and word, held: how many of these hold each word.
+def _more_with_any(source: DataFrame, reached: np.ndarray, before: np.ndarray, now: np.ndarray) -> DataFrame:
+    """word, n: by how much the documents that hold one of reached (sorted hashes) count more than they did, summed up for each word that they hold; for all of them together where word is null.
 
-    A document counts as much as the highest confidence, in thousandths, of the reached words in it.
+    A document counts as much as the highest confidence, in thousandths, of the reached words in it. before: the
+    confidences as they were, 0 for words that are new; documents that hold no new word are left out.
     """
-    share = np.round(confidence * 1000).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting, weights, size = [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            both, back = np.unique(np.concatenate([words, *waiting]), return_inverse=True)
+            return both, np.bincount(back, weights=np.concatenate([counts, *weights]), minlength=len(both)).astype(np.int64)
+
         for batch in batches:
             for i, j, row, h in _word_sets(batch.column("text")):
                 at = np.minimum(np.searchsorted(reached, h), len(reached) - 1)
                 hit = reached[at] == h
-                most = np.zeros(j - i, dtype=np.int64)
-                np.maximum.at(most, row[hit], share[at[hit]])
-                total += int(most.sum())
-                live = most[row] > 0
-                words, back = np.unique(np.concatenate([words, h[live]]), return_inverse=True)
-                counts = np.bincount(back, weights=np.concatenate([counts, most[row[live]]]), minlength=len(words)).astype(np.int64)
-                if len(words) > (1 << 19):
-                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
-                    words, counts = words[:0], counts[:0]
+                old, new = np.zeros(j - i, dtype=np.int64), np.zeros(j - i, dtype=np.int64)
+                np.maximum.at(old, row[hit], before[at[hit]])
+                np.maximum.at(new, row[hit], now[at[hit]])
+                more = new - old
+                total += int(more.sum())
+                live = more[row] > 0
+                waiting.append(h[live])
+                weights.append(more[row[live]])
+                size += len(waiting[-1])
+                if size > HELD:
+                    words, counts = merged()
+                    waiting, weights, size = [], [], 0
+                    if len(words) > HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+                        words, counts = words[:0], counts[:0]
+        words, counts = merged()
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], names=["word", "n"])
 
-    got = written(source.select("text").transform(mapped, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "held")
-    total = got.where("word is null").first()
-    return (total["n"] or 0) / 1000 if total else 0.0, got.where("word is not null").select("word", (F.col("n") / 1000).alias("held"))
+    return source.select("text").transform(mapped, run, "word long, n long")
 
 
 def _chance(a: np.ndarray, b: np.ndarray, m: np.ndarray, n_docs: int) -> np.ndarray:
@@ -220,10 +233,10 @@ def _pair_counts(source: DataFrame, vocabulary: np.ndarray, m: np.ndarray, n_doc
                 for cell in pairs(row, word):
                     waiting.append(cell)
                     held += len(cell)
-                    if held > (1 << 20):
+                    if held > 2 * HELD:
                         cells, counts = _added(cells, counts, waiting)
                         waiting, held = [], 0
-                        if len(cells) > (1 << 21):
+                        if len(cells) > 2 * HELD:
                             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], names=["cell", "n"])
                             cells, counts = cells[:0], counts[:0]
         cells, counts = _added(cells, counts, waiting)
@@ -288,12 +301,18 @@ def induce(source: DataFrame, ids: pa.Array, y: np.ndarray) -> tuple[np.ndarray,
     good = good[new]
     members, n, sure = (np.concatenate([seeds[c].to_numpy(), best[c].to_numpy()[new]]) for c in ("word", "n", "bound"))
     members = members.view(np.uint64)
-    reached, confidence = bad, np.ones(len(bad))
+    reached, before, confidence = bad, np.zeros(len(bad), np.int64), np.full(len(bad), 1000)
+    held = None
     # Words that labelled documents show to be no more toxic than documents are at large can get no weight.
     suspect = F.col("bound").isNull() | (F.col("bound") > float((y == 1).mean()))
     while True:
         order = np.argsort(reached)
-        mass, with_any = _with_any(source, reached[order], confidence[order])
+        more = _more_with_any(source, reached[order], before[order], confidence[order])
+        held, last = written((more if held is None else held.unionByName(more)).groupBy("word").agg(F.sum("n").alias("n")), "held"), held
+        if last is not None:
+            drop_written(last)
+        mass = (held.where("word is null").first() or [None, 0])[1] / 1000
+        with_any = held.where("word is not null").select("word", (F.col("n") / 1000).alias("held"))
         expected = F.col("n") * (mass / n_docs)
         tied = (F.col("held") >= LEAST_DOCUMENTS) & (F.col("held") - expected > 3 * F.sqrt(F.greatest(expected, F.lit(1.0)))) & (F.col("held") >= 2 * expected)
         found = with_any.join(counts, "word").where(tied).join(known.select("word", "bound"), "word", "left").where(suspect)
@@ -303,7 +322,8 @@ def induce(source: DataFrame, ids: pa.Array, y: np.ndarray) -> tuple[np.ndarray,
         if not new.any():
             break
         members, n, sure = np.concatenate([members, word[new]]), np.concatenate([n, got["n"].to_numpy()[new]]), np.concatenate([sure, got["sure"].to_numpy()[new]])
-        reached, confidence = np.concatenate([reached, word[new]]), np.concatenate([confidence, got["sure"].to_numpy()[new]])
+        reached, before = np.concatenate([reached, word[new]]), np.concatenate([confidence, np.zeros(int(new.sum()), np.int64)])
+        confidence = np.concatenate([confidence, np.round(got["sure"].to_numpy()[new] * 1000).astype(np.int64)])
     order = np.argsort(members)
     members, m, sure = members[order], n[order].astype(np.float64), sure[order]
     a, b, together = _pair_counts(source, members, m, n_docs)
