@@ -677,3 +677,31 @@ def test_whole_tables_without_sql(spark, name):
         root = _components([texts[i] for i in ids], minhash.THRESHOLD)
         brute = {ids[k]: ids[r] for k, r in enumerate(root)}
         assert sum(brute[r["doc_id"]] == r["group_id"] for r in got) >= 0.98 * len(ids)
+
+
+def test_lookup_of_heavy_and_light_keys(spark):
+    from pyspark.sql import functions as F
+
+    from quadloom.llm.skew import lookup
+
+    keys = [0] * 3000 + [1] * 2 + list(range(2, 2500))
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("rows"), F.min("v").alias("low")).where("k <> 7")
+    got = lookup(left, right, ["k"], "rows")
+    want = left.join(right, "k")
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert lookup(left.where("false"), right, ["k"], "rows").collect() == [] and lookup(left, right.where("false"), ["k"], "rows").collect() == []
+
+
+def test_results_do_not_depend_on_the_size_of_a_filter(spark, monkeypatch):
+    import pyarrow as pa
+
+    from quadloom.llm import bloom
+
+    df = docs(spark, near_copies(12))
+    want = sorted(x["doc_id"] for x in minhash.deduplicate(df).collect())
+    monkeypatch.setattr(bloom, "MOST_BITS", 64)
+    ids = spark.range(5000).selectExpr("xxhash64(id) id")
+    full = bloom.build(ids, hashed=True)
+    assert len(full.words) == 1 and full.may_hold(pa.array([x["id"] for x in ids.collect()])).all()
+    assert sorted(x["doc_id"] for x in minhash.deduplicate(df).collect()) == want
