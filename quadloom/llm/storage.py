@@ -44,11 +44,16 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Options of written() for tables whose rows are megabytes each: a row group for each row. By default a task's first hundred rows
+#: are one row group, which the writer holds, and a reader's batch gets, as a whole.
+LARGE_ROWS = {"parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm.arrowtext import distinct_in_rows, mapped, span_hash, word_slices
-from quadloom.llm.storage import written
+from quadloom.llm.storage import LARGE_ROWS, written
 
 K1, B = 1.2, 0.75
 TOP = 10
 LEVELS = 32
 FEW = 512
-SHARD_BYTES = 16 << 20
+#: A shard is a row of the index, which executors hold several copies of as it is written and read; they take their memory by it.
+SHARD_BYTES = 4 << 20
 QUERY_BLOCK = 4096
 #: Postings read before it is first asked whether reading may stop; then twice as many each time.
 FIRST_READ = 1024
@@ -119,7 +120,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *packed], names=["n_docs", "mean", "ids", *_PARTS])
 
     kind = source.schema["doc"].dataType.simpleString()
-    return written(source.transform(mapped, run, f"n_docs long, mean double, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in _PARTS)), "index")
+    return written(source.transform(mapped, run, f"n_docs long, mean double, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in _PARTS)), "index", LARGE_ROWS)
 
 
 class Shard:

@@ -396,6 +396,24 @@ def test_topk_with_ids_of_strings_and_nulls(spark):
     assert got == [("q1", 1, "a"), ("q1", 2, None), ("q1", 3, "a"), ("q2", 1, "d")]
 
 
+def test_topk_index_is_written_and_read_in_small_pieces(spark):
+    """A task's shards do not lie in one row group, which its writer and its readers would hold as a whole."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    r = np.random.default_rng(7)
+    texts = [" ".join(map(str, r.integers(0, 10**9, 20_000))) for _ in range(60)]
+    index = topk.build_index(docs(spark, texts).coalesce(1))
+    assert sorted(i for x in index.select("ids").collect() for i in x["ids"]) == list(range(60))
+    files = [pq.ParquetFile(f) for x in index.inputFiles() for f in glob.glob(x.removeprefix("file://"))]
+    groups = [f.metadata.row_group(g) for f in files for g in range(f.num_row_groups)]
+    assert sum(g.total_byte_size for g in groups) > 24 << 20
+    assert all(g.num_rows == 1 and g.total_byte_size < 16 << 20 for g in groups)
+    q = spark.createDataFrame([(1, " ".join(texts[59].split()[:50]))], "item_id long, text string")
+    assert topk.search_index(index, q, 1).first()["doc_id"] == 59
+
+
 # 8 mixing
 def test_mixing_counts_follow_rates(spark):
     texts = [*ODD[:7], *(words(20, k) for k in range(300))]
