@@ -71,16 +71,32 @@ def _word_sets(column: pa.Array, vocabulary: np.ndarray | None = None) -> Iterat
         if vocabulary is not None:
             if not len(vocabulary):
                 continue
-            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            hit = vocabulary[at] == h
-            pair = np.unique(row[hit] * len(vocabulary) + at[hit])
+            held, at = _places(h, vocabulary)
+            pair = np.unique(row[held] * len(vocabulary) + at)
             yield i, j, pair // len(vocabulary), pair % len(vocabulary)
         else:
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            yield i, j, row[new], h[new]
+            row, place, values = _distinct(row, h)
+            yield i, j, row, values[place]
+
+
+def _places(h: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of h the sorted vocabulary holds, their places in it); most others fall out by their first bits, without a search."""
+    first = np.zeros(1 << 20, dtype=bool)
+    first[vocabulary >> np.uint64(44)] = True
+    held = np.flatnonzero(first[h >> np.uint64(44)])
+    at = np.minimum(np.searchsorted(vocabulary, h[held]), len(vocabulary) - 1)
+    hit = vocabulary[at] == h[held]
+    return held[hit], at[hit]
+
+
+def _distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place of its word) of the distinct pairs, by rows, and the words; numbering words first leaves one array of plain numbers to sort."""
+    coded = pc.dictionary_encode(pa.array(h))
+    values = coded.dictionary.to_numpy()
+    pair = np.sort(row * len(values) + coded.indices.to_numpy())
+    pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
+    row = pair // max(len(values), 1)
+    return row, pair - row * len(values), values
 
 
 def word_counts(source: DataFrame) -> DataFrame:
@@ -178,17 +194,19 @@ def _more_with_any(source: DataFrame, reached: np.ndarray, before: np.ndarray, n
             return both, np.bincount(back, weights=np.concatenate([counts, *weights]), minlength=len(both)).astype(np.int64)
 
         for batch in batches:
-            for i, j, row, h in _word_sets(batch.column("text")):
-                at = np.minimum(np.searchsorted(reached, h), len(reached) - 1)
-                hit = reached[at] == h
+            for i, j, data, s, e, first in word_slices(batch.column("text")):
+                h, row = span_hash(data, s, e), np.repeat(np.arange(j - i), np.diff(first))
+                held, at = _places(h, reached)
                 old, new = np.zeros(j - i, dtype=np.int64), np.zeros(j - i, dtype=np.int64)
-                np.maximum.at(old, row[hit], before[at[hit]])
-                np.maximum.at(new, row[hit], now[at[hit]])
+                np.maximum.at(old, row[held], before[at])
+                np.maximum.at(new, row[held], now[at])
                 more = new - old
                 total += int(more.sum())
+                # Only the words of documents that hold a new one are made distinct.
                 live = more[row] > 0
-                waiting.append(h[live])
-                weights.append(more[row[live]])
+                row, place, values = _distinct(row[live], h[live])
+                waiting.append(values)
+                weights.append(np.bincount(place, weights=more[row], minlength=len(values)).astype(np.int64))
                 size += len(waiting[-1])
                 if size > HELD:
                     words, counts = merged()

@@ -678,6 +678,28 @@ def test_random_walk_against_dense_solution():
     assert np.allclose(toxicity.walk(a, b, w[a, b], bad, good)[free], x, atol=1e-3)
 
 
+def test_toxicity_rounds_leave_out_what_no_new_word_is_with(monkeypatch):
+    """A round sorts only the words of documents that hold a new one, and sums up the rest of none."""
+    import pyarrow as pa
+
+    from quadloom.llm.arrowtext import span_hash
+
+    hashed = lambda w: span_hash(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]
+    texts = ["new a a b", None, "old " + "c d " * 9, "old new b", "", "e " * 50]
+    plans, sizes = [], []
+    monkeypatch.setattr(toxicity, "_distinct", lambda row, h, f=toxicity._distinct: sizes.append(len(h)) or f(row, h))
+    source = type("Source", (), {"select": lambda s, *c: s, "transform": lambda s, f, run, schema: plans.append(run)})()
+    reached = np.sort(np.array([hashed("new"), hashed("old")], dtype=np.uint64))
+    is_new = reached == hashed("new")
+    toxicity._more_with_any(source, reached, np.where(is_new, 0, 400), np.where(is_new, 900, 400))
+    got = Counter()
+    for batch in plans[0](iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
+        got.update(dict(zip(batch["word"].to_pylist(), batch["n"].to_pylist())))
+    want = {"new": 900 + 500, "a": 900, "b": 900 + 500, "old": 500}
+    assert got == {None: 1400} | {int(np.uint64(hashed(w)).view(np.int64)): n for w, n in want.items()}
+    assert sum(sizes) == 7
+
+
 @pytest.mark.parametrize("name", ["op1_bpe_round_trip", "op3_warc_normaliser", "op5_minhash_groups", "op9_quality_sites", "op10_toxicity_lexicon"])
 def test_whole_tables_without_sql(spark, name):
     from quadloom.llm import registry
