@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from quadloom.functions.batches import texts_udf
 from quadloom.functions.terms import BASE
 
 
@@ -88,12 +86,7 @@ def chunk_chars(text: str | None, size: int = 500, overlap: int = 50) -> list[st
 
 
 def _chunker(function, size: int, overlap: int):
-    @F.pandas_udf("array<string>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([function(x, size, overlap) for x in s], dtype=object)
-
-    return run
+    return texts_udf(lambda s: pd.Series([function(x, size, overlap) for x in s], dtype=object), "array<string>")
 
 
 def with_chunks(df: DataFrame, text: str, uri: Column, size: int = 1000, overlap: int = 150, kind: str = "doc_chunk", number_single: bool = False, by_chars: bool = False) -> DataFrame:
@@ -143,9 +136,8 @@ def html_lines(html: str | None, width: int = 120) -> str:
     return "\n\n".join(textwrap.fill(x, width) for x in lines if x.strip("# *"))
 
 
-@F.pandas_udf(T.StringType())
-def render_html(s: pd.Series) -> pd.Series:
-    return s.map(html_lines)
+def render_html(c: Column | str) -> Column:
+    return texts_udf(lambda s: s.map(html_lines), "string")(c)
 
 
 def markdown_triples(df: DataFrame, text: str, uri: Column, base: str = BASE) -> DataFrame:

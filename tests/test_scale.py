@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
+from quadloom.functions import batches
 from quadloom.functions import terms as t
 from quadloom.operators import joins
-from quadloom.plans import queries_sparql, sparql
+from quadloom.plans import queries_graph, queries_sparql, sparql
 
 
 def tasks_with_rows(df):
@@ -25,3 +26,18 @@ def test_objects_that_meet_objects_are_spread_over_tasks(spark, monkeypatch):
 def test_repeated_variable_in_more_than_one_task(spark, monkeypatch):
     monkeypatch.setattr(joins, "TILE", 1)
     assert tasks_with_rows(queries_sparql.QUERIES["spq2_repeated_variable"](spark, SMALL)) > 1
+
+
+def sizes_of_batches(spark, run):
+    """run's settings for batches, and how many texts of 1 MB come at once."""
+    for k in batches.BATCH:
+        spark.conf.unset(k)
+    run()
+    return {k: spark.conf.get(k) for k in batches.BATCH}
+
+
+def test_character_chunks_of_bounded_batches(spark):
+    assert sizes_of_batches(spark, lambda: queries_graph.QUERIES["sc7_character_chunks"](spark, SMALL)) == batches.BATCH
+    long = spark.range(40).coalesce(1).select(F.repeat(F.lit("word "), 200_000).alias("text"))
+    most = long.select(batches.texts_udf(lambda s: s.map(lambda _: len(s)), "int")("text").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 8
