@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadloom.functions.batches import texts_udf
 from quadloom.operators.loops import durable
 
 DIMENSION = 384
@@ -32,14 +33,8 @@ def hash_embedding(text: str | None, dimension: int = DIMENSION) -> list[float]:
 
 
 def embedder(dimension: int = DIMENSION, function: Callable[[list[str]], list[list[float]]] | None = None):
-    """A pandas UDF text -> array<float>; ``function`` (a model, a remote service) takes a batch of texts."""
-
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(function([x or "" for x in s])) if function else s.map(lambda x: hash_embedding(x, dimension))
-
-    return embed
+    """A pandas UDF text -> array<float>; ``function`` (a model, a remote service) takes a batch of texts, bounded in bytes."""
+    return texts_udf(lambda s: pd.Series(function([x or "" for x in s])) if function else s.map(lambda x: hash_embedding(x, dimension)), "array<float>")
 
 
 def l2(a: Column, b: Column) -> Column:

@@ -41,3 +41,7 @@ def test_character_chunks_of_bounded_batches(spark):
     long = spark.range(40).coalesce(1).select(F.repeat(F.lit("word "), 200_000).alias("text"))
     most = long.select(batches.texts_udf(lambda s: s.map(lambda _: len(s)), "int")("text").alias("n")).agg(F.max("n")).first()[0]
     assert most <= 8
+
+
+def test_rendered_pages_of_bounded_batches(spark):
+    assert sizes_of_batches(spark, lambda: queries_graph.QUERIES["sc9_rendered_pages"](spark, SMALL)) == batches.BATCH
