@@ -6,7 +6,7 @@ from conftest import SMALL, rows
 from quadloom.functions import batches
 from quadloom.functions import terms as t
 from quadloom.operators import joins
-from quadloom.plans import queries_graph, queries_sparql, sparql
+from quadloom.plans import queries_graph, queries_service, queries_sparql, sparql
 
 
 def tasks_with_rows(df):
@@ -45,3 +45,7 @@ def test_character_chunks_of_bounded_batches(spark):
 
 def test_rendered_pages_of_bounded_batches(spark):
     assert sizes_of_batches(spark, lambda: queries_graph.QUERIES["sc9_rendered_pages"](spark, SMALL)) == batches.BATCH
+
+
+def test_chunks_of_other_sizes_of_bounded_batches(spark):
+    assert sizes_of_batches(spark, lambda: queries_service.QUERIES["sc6_chunks_of_other_sizes"](spark, SMALL)) == batches.BATCH
