@@ -49,3 +49,7 @@ def test_rendered_pages_of_bounded_batches(spark):
 
 def test_chunks_of_other_sizes_of_bounded_batches(spark):
     assert sizes_of_batches(spark, lambda: queries_service.QUERIES["sc6_chunks_of_other_sizes"](spark, SMALL)) == batches.BATCH
+
+
+def test_page_chunks_of_bounded_batches(spark):
+    assert sizes_of_batches(spark, lambda: queries_graph.QUERIES["src11_page_chunks"](spark, SMALL)) == batches.BATCH
