@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL, rows
 from quadloom.functions import batches
 from quadloom.functions import terms as t
-from quadloom.operators import joins
+from quadloom.operators import joins, vectors
 from quadloom.plans import queries_graph, queries_service, queries_sparql, sparql
 
 
@@ -53,3 +53,11 @@ def test_chunks_of_other_sizes_of_bounded_batches(spark):
 
 def test_page_chunks_of_bounded_batches(spark):
     assert sizes_of_batches(spark, lambda: queries_graph.QUERIES["src11_page_chunks"](spark, SMALL)) == batches.BATCH
+
+
+def test_remote_embeddings_of_bounded_batches(spark):
+    long = spark.range(40).coalesce(1).select(F.repeat(F.lit("word "), 200_000).alias("text"))
+    for k in batches.BATCH:
+        spark.conf.unset(k)
+    got = long.select(vectors.embedder(function=lambda texts: [[float(len(texts))] for _ in texts])("text").alias("e"))
+    assert got.agg(F.max(F.col("e")[0])).first()[0] <= 8
