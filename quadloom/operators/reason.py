@@ -25,10 +25,35 @@ def iri_triples(quads: DataFrame) -> DataFrame:
     return quads.where("s_kind = 'iri' and o_kind = 'iri'").select(*TRIPLE)
 
 
-def chain(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """x p z for x p y in left and y p z in right."""
+#: Up to so many rows of a schema are sent to all tasks, so that triples needn't be gathered by predicate or class.
+SCHEMA_ROWS = 100_000
+#: Triples that a task sorts or groups, on average.
+TASK_ROWS = 250_000
+
+
+def tasks(rows: int) -> int:
+    """Into how many tasks to part so many triples."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def small(schema: DataFrame) -> DataFrame | None:
+    """schema, to be broadcast if it is as small as schemas are; None if it is empty."""
+    n = schema.limit(SCHEMA_ROWS + 1).count()
+    return None if not n else schema if n > SCHEMA_ROWS else F.broadcast(schema)
+
+
+def kept(triples: DataFrame, properties: DataFrame | None, how: str = "left_semi") -> DataFrame:
+    """triples whose predicate is among what small() gave."""
+    return triples.where("false") if properties is None else triples.join(properties, "p", how)
+
+
+def chain(left: DataFrame, right: DataFrame, by: list[str], parts: int | None = None) -> DataFrame:
+    """x p z for x p y in left and y p z in right; joined in so many parts, else as Spark sees fit."""
+    a = left.withColumnRenamed("o", "_m")
     b = right.select(F.col("s").alias("_m"), *(F.col(c) for c in by), F.col("o").alias("_z"))
-    return left.withColumnRenamed("o", "_m").join(b, ["_m", *by]).select("s", "p", F.col("_z").alias("o"))
+    if parts:
+        a, b = a.repartition(parts, "_m", *by), b.repartition(parts, "_m", *by)
+    return a.join(b, ["_m", *by]).select("s", "p", F.col("_z").alias("o"))
 
 
 def declared(triples: DataFrame, kind: str) -> DataFrame:
@@ -36,24 +61,31 @@ def declared(triples: DataFrame, kind: str) -> DataFrame:
     return triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == OWL + kind)).select(F.col("s").alias("p")).distinct()
 
 
-def subclass_step(triples: DataFrame) -> DataFrame:
+def subclass_step(triples: DataFrame, parts: int | None = None) -> DataFrame:
     sub = triples.where(F.col("p") == SUBCLASS)
-    return chain(sub, sub, ["p"])
+    return chain(sub, sub, ["p"], parts)
 
 
 def transitive_step(triples: DataFrame) -> DataFrame:
-    edges = triples.join(declared(triples, "TransitiveProperty"), "p", "left_semi").select(*TRIPLE)
+    edges = kept(triples, small(declared(triples, "TransitiveProperty"))).select(*TRIPLE)
     return chain(edges, edges, ["p"])
 
 
 def symmetric_step(triples: DataFrame) -> DataFrame:
-    return triples.join(declared(triples, "SymmetricProperty"), "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+    return kept(triples, small(declared(triples, "SymmetricProperty"))).select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
 
 
 def inverse_step(triples: DataFrame, both_ways: bool = False) -> DataFrame:
     pairs = triples.where(F.col("p") == INVERSE).select(F.col("s").alias("p"), F.col("o").alias("_q")).distinct()
     if both_ways:
         pairs = pairs.unionByName(pairs.select(F.col("_q").alias("p"), F.col("p").alias("_q"))).distinct()
+    return inverted(triples, small(pairs))
+
+
+def inverted(triples: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """o q s for s p o, by pairs(p, _q) that small() gave."""
+    if pairs is None:
+        return triples.where("false").select(*TRIPLE)
     return triples.join(pairs, "p").select(F.col("o").alias("s"), F.col("_q").alias("p"), F.col("s").alias("o"))
 
 
@@ -86,22 +118,23 @@ def materialise(quads: DataFrame, strategy: str = "rdfs") -> DataFrame:
     total = delta = durable(triples.distinct())
     added = there.where("false")
     while not delta.isEmpty():
-        transitive = declared(total, "TransitiveProperty")
-        edges = total.join(transitive, "p", "left_semi").select(*TRIPLE)
-        new = delta.join(transitive, "p", "left_semi").select(*TRIPLE)
+        transitive, symmetric = small(declared(total, "TransitiveProperty")), small(declared(total, "SymmetricProperty"))
+        edges = kept(total, transitive).select(*TRIPLE)
+        new = kept(delta, transitive).select(*TRIPLE)
         schema = delta.where(((F.col("p") == RDF_TYPE) & F.col("o").isin(OWL + "TransitiveProperty", OWL + "SymmetricProperty")) | (F.col("p") == INVERSE))
         if not schema.isEmpty():  # a new declaration makes old edges count
             new, walked = edges, total
         else:
             walked = delta
-        pairs = total.where(F.col("p") == INVERSE).select(F.col("s").alias("p"), F.col("o").alias("_q")).distinct()
-        steps = [
-            chain(new, edges, ["p"]),
-            chain(edges, new, ["p"]),
-            walked.join(declared(total, "SymmetricProperty"), "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o")),
-            walked.join(pairs, "p").select(F.col("o").alias("s"), F.col("_q").alias("p"), F.col("s").alias("o")),
-        ]
+        pairs = small(total.where(F.col("p") == INVERSE).select(F.col("s").alias("p"), F.col("o").alias("_q")).distinct())
+        steps = [] if transitive is None else [chain(new, edges, ["p"]), chain(edges, new, ["p"])]
+        steps += [] if symmetric is None else [kept(walked, symmetric).select(F.col("o").alias("s"), "p", F.col("s").alias("o"))]
+        steps += [] if pairs is None else [inverted(walked, pairs)]
+        if not steps:
+            break
         concluded = durable(reduce(DataFrame.unionByName, steps).distinct())
+        if concluded.isEmpty():
+            break
         delta = durable(concluded.join(total, TRIPLE, "left_anti"))
         added = added.unionByName(concluded)
         total = total.unionByName(delta)
@@ -109,8 +142,8 @@ def materialise(quads: DataFrame, strategy: str = "rdfs") -> DataFrame:
 
 
 # Extended rules: triples and an ontology, both s, p, o.
-def ext_subclass(triples: DataFrame, ontology: DataFrame) -> DataFrame:
-    return subclass_step(triples).where("s <> o")
+def ext_subclass(triples: DataFrame, ontology: DataFrame, parts: int | None = None) -> DataFrame:
+    return subclass_step(triples, parts).where("s <> o")
 
 
 def superclasses(ontology: DataFrame) -> DataFrame:
@@ -118,30 +151,30 @@ def superclasses(ontology: DataFrame) -> DataFrame:
     return closure(ontology.where(F.col("p") == SUBCLASS).select(F.col("s").alias("a"), F.col("o").alias("b"))).where("a <> b")
 
 
-def ext_types(triples: DataFrame, ontology: DataFrame) -> DataFrame:
-    up = superclasses(ontology)
-    return triples.where(F.col("p") == RDF_TYPE).join(up, F.col("o") == F.col("a")).select("s", "p", F.col("b").alias("o"))
+def ext_types(triples: DataFrame, ontology: DataFrame, parts: int | None = None) -> DataFrame:
+    up = small(superclasses(ontology))
+    return triples.where("false").select(*TRIPLE) if up is None else triples.where(F.col("p") == RDF_TYPE).join(up, F.col("o") == F.col("a")).select("s", "p", F.col("b").alias("o"))
 
 
-def ext_transitive(triples: DataFrame, ontology: DataFrame) -> DataFrame:
-    edges = triples.join(declared(ontology, "TransitiveProperty"), "p", "left_semi").select(*TRIPLE)
-    return chain(edges, edges, ["p"]).where("s <> o")
+def ext_transitive(triples: DataFrame, ontology: DataFrame, parts: int | None = None) -> DataFrame:
+    edges = kept(triples, small(declared(ontology, "TransitiveProperty"))).select(*TRIPLE)
+    return chain(edges, edges, ["p"], parts).where("s <> o")
 
 
-def ext_inverse(triples: DataFrame, ontology: DataFrame) -> DataFrame:
+def ext_inverse(triples: DataFrame, ontology: DataFrame, parts: int | None = None) -> DataFrame:
     pairs = ontology.where(F.col("p") == INVERSE).select(F.col("s").alias("p"), F.col("o").alias("_q"))
     pairs = pairs.unionByName(pairs.select(F.col("_q").alias("p"), F.col("p").alias("_q"))).distinct()
-    return triples.join(pairs, "p").select(F.col("o").alias("s"), F.col("_q").alias("p"), F.col("s").alias("o"))
+    return inverted(triples, small(pairs))
 
 
-def ext_symmetric(triples: DataFrame, ontology: DataFrame) -> DataFrame:
-    return triples.join(declared(ontology, "SymmetricProperty"), "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+def ext_symmetric(triples: DataFrame, ontology: DataFrame, parts: int | None = None) -> DataFrame:
+    return kept(triples, small(declared(ontology, "SymmetricProperty"))).select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
 
 
-def ext_domain_range(triples: DataFrame, ontology: DataFrame) -> DataFrame:
+def ext_domain_range(triples: DataFrame, ontology: DataFrame, parts: int | None = None) -> DataFrame:
     def typed(end: str, what: str) -> DataFrame:
-        of = ontology.where(F.col("p") == RDFS + what).select(F.col("s").alias("p"), F.col("o").alias("_c")).distinct()
-        return triples.join(of, "p").select(F.col(end).alias("s"), F.lit(RDF_TYPE).alias("p"), F.col("_c").alias("o"))
+        of = small(ontology.where(F.col("p") == RDFS + what).select(F.col("s").alias("p"), F.col("o").alias("_c")).distinct())
+        return triples.where("false").select(*TRIPLE) if of is None else triples.join(of, "p").select(F.col(end).alias("s"), F.lit(RDF_TYPE).alias("p"), F.col("_c").alias("o"))
 
     return typed("s", "domain").unionByName(typed("o", "range"))
 
@@ -150,10 +183,16 @@ RULES = {"subclass": ext_subclass, "types": ext_types, "transitive": ext_transit
 
 
 def infer(triples: DataFrame, ontology: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """rule, s, p, o: new triples of a single pass of the chosen rules over the input, each under its first rule."""
+    """rule, s, p, o: new triples of a single pass of the chosen rules over the input, each under its first rule.
+
+    Known and concluded triples are grouped together, in as many parts as there are TASK_ROWS of them, since how many a
+    file holds and how few bytes they take in a shuffle says little about the memory that they need.
+    """
     names = list(rules or RULES)
-    each = reduce(DataFrame.unionByName, (RULES[r](triples, ontology).withColumn("_n", F.lit(k)) for k, r in enumerate(names)))
-    first = each.join(triples.distinct(), TRIPLE, "left_anti").groupBy(*TRIPLE).agg(F.min("_n").alias("_n"))
+    rows = triples.count()
+    each = reduce(DataFrame.unionByName, (RULES[r](triples, ontology, tasks(2 * rows)).withColumn("_n", F.lit(k)) for k, r in enumerate(names)))
+    each = each.unionByName(triples.select(*TRIPLE, F.lit(-1).alias("_n")))
+    first = each.repartition(tasks(rows * (len(names) + 1)), *TRIPLE).groupBy(*TRIPLE).agg(F.min("_n").alias("_n")).where("_n >= 0")
     return first.select(F.element_at(F.array(*(F.lit(x) for x in names)), F.col("_n") + 1).alias("rule"), *TRIPLE)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL, rows
 from quadloom.functions import batches
 from quadloom.functions import terms as t
-from quadloom.operators import joins, vectors
+from quadloom.operators import joins, reason, vectors
 from quadloom.plans import queries_graph, queries_service, queries_sparql, sparql
 
 
@@ -61,3 +61,14 @@ def test_remote_embeddings_of_bounded_batches(spark):
         spark.conf.unset(k)
     got = long.select(vectors.embedder(function=lambda texts: [[float(len(texts))] for _ in texts])("text").alias("e"))
     assert got.agg(F.max(F.col("e")[0])).first()[0] <= 8
+
+
+def largest_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_rules_group_so_many_triples_a_task(spark, monkeypatch):
+    monkeypatch.setattr(reason, "TASK_ROWS", 50)
+    for name in ("rs15_extended_rules", "rs9_rs11_rs13_rules"):
+        got = queries_graph.QUERIES[name](spark, SMALL)
+        assert got.rdd.getNumPartitions() > 8 and largest_task(got) <= 150, name
