@@ -72,3 +72,11 @@ def test_rules_group_so_many_triples_a_task(spark, monkeypatch):
     for name in ("rs15_extended_rules", "rs9_rs11_rs13_rules"):
         got = queries_graph.QUERIES[name](spark, SMALL)
         assert got.rdd.getNumPartitions() > 8 and largest_task(got) <= 150, name
+
+
+def test_report_of_rules_that_group_so_many_triples_a_task(spark, monkeypatch):
+    monkeypatch.setattr(reason, "TASK_ROWS", 50)
+    triples = queries_graph.spo(queries_graph.star.quads(spark, SMALL, "c_nationkey", typed=("customer",)))
+    inferred = reason.infer(triples, queries_graph._ontology(spark))
+    assert inferred.rdd.getNumPartitions() > 8
+    assert sum(r["inferred"] for r in reason.inference_report(triples, inferred).collect()) == inferred.count()
