@@ -80,3 +80,11 @@ def test_report_of_rules_that_group_so_many_triples_a_task(spark, monkeypatch):
     inferred = reason.infer(triples, queries_graph._ontology(spark))
     assert inferred.rdd.getNumPartitions() > 8
     assert sum(r["inferred"] for r in reason.inference_report(triples, inferred).collect()) == inferred.count()
+
+
+def test_chains_are_joined_in_parts(spark, monkeypatch):
+    q = queries_graph.star.quads(spark, SMALL, "o_custkey", "c_nationkey").select("s", F.lit("urn:within").alias("p"), "o")
+    assert reason.chain(q, q, ["p"], 7).rdd.getNumPartitions() == 7
+    monkeypatch.setattr(reason, "SCHEMA_ROWS", 0)  # a schema too large to broadcast leads to the same rows
+    some = spark.createDataFrame([("urn:within", t.RDF_TYPE, t.OWL + "SymmetricProperty")], "s string, p string, o string")
+    assert reason.ext_symmetric(q, some).count() == q.count()
