@@ -88,3 +88,12 @@ def test_chains_are_joined_in_parts(spark, monkeypatch):
     monkeypatch.setattr(reason, "SCHEMA_ROWS", 0)  # a schema too large to broadcast leads to the same rows
     some = spark.createDataFrame([("urn:within", t.RDF_TYPE, t.OWL + "SymmetricProperty")], "s string, p string, o string")
     assert reason.ext_symmetric(q, some).count() == q.count()
+
+
+def test_materialising_stops_when_no_rule_concludes_more(spark, monkeypatch):
+    asked = []
+    whole = reason.durable
+    monkeypatch.setattr(reason, "durable", lambda df: asked.append(1) or whole(df))
+    q = t.triples_to_quads(spark.createDataFrame([("http://a", "http://p", "http://b"), ("http://p", reason.INVERSE, "http://q")], t.TRIPLE))
+    assert rows(reason.materialise(q, "owlrl")) == [("http://b", "http://q", "http://a")]
+    assert len(asked) == 4  # the triples, twice what a round concludes, and the empty round that ends it once
